@@ -1,4 +1,503 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, over matrices that count line items and events."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codecs
+from .operators import edits, graph, matrix, metrics, neighbours, order
+from .plans import payload
+from .sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.counted(read(spark, sf_dir, "lineitem"), F.col("l_suppkey"), F.col("l_partkey"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return matrix.counted(e, F.col("user_id"), F.hour("ts") * 100 + F.length("event_type"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vec.alias("vec"))
+
+
+COO = "coo AS (SELECT CAST(l_suppkey AS BIGINT) AS row_id, CAST(l_partkey AS BIGINT) AS col_id, count(*) AS value FROM lineitem GROUP BY ALL)"
+EVENTS = "coo AS (SELECT CAST(user_id AS BIGINT) AS row_id, CAST(hour(ts) * 100 + length(event_type) AS BIGINT) AS col_id, count(*) AS value FROM events GROUP BY ALL)"
+CLUSTERS = "cl AS (SELECT row_id, CAST(ntile(6) OVER (ORDER BY row_id) - 1 AS BIGINT) AS cluster_id FROM (SELECT DISTINCT row_id FROM coo))"
+PLACED = f"{CLUSTERS}, pl AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY row_id) - 1 AS pos FROM cl)"
+PAIRS = f"{PLACED}, pr AS (SELECT a.cluster_id, a.row_id AS a, b.row_id AS b FROM pl a JOIN pl b ON a.cluster_id = b.cluster_id AND b.pos - a.pos BETWEEN 1 AND 8)"
+_J = "CAST(round(CAST((CAST(1 AS FLOAT) - CAST(CAST(i AS FLOAT) / CAST(na + nb - i AS FLOAT) AS FLOAT)) AS FLOAT) * CAST(1000000 AS FLOAT)) AS BIGINT)"
+METRICS = f"""{PAIRS}, own AS (SELECT row_id, count(*) AS n, sum(value * value) AS s FROM coo GROUP BY 1),
+sh AS (SELECT a, b, count(*) AS i, sum(x.value * y.value) AS dot, count(*) FILTER (WHERE x.value = y.value) AS eq FROM pr JOIN coo x ON x.row_id = a JOIN coo y ON y.row_id = b AND x.col_id = y.col_id GROUP BY 1, 2),
+f AS (SELECT pr.*, coalesce(i, 0) AS i, coalesce(dot, 0) AS dot, coalesce(eq, 0) AS eq, p.n AS na, q.n AS nb, p.s AS sa, q.s AS sb FROM pr LEFT JOIN sh USING (a, b) JOIN own p ON p.row_id = a JOIN own q ON q.row_id = b)"""
+
+
+def clusters(coo: DataFrame, k: int = 6) -> DataFrame:
+    return order.equal_cuts(coo.select("row_id").distinct(), k, ["row_id"])
+
+
+def placed(coo: DataFrame) -> DataFrame:
+    return order.positions_in(clusters(coo))
+
+
+def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coo = items(spark, sf_dir)
+    p = placed(coo)
+    return metrics.pair_metrics(graph.window_pairs(p, 8), coo.join(p.select("row_id", "cluster_id"), "row_id"), ["row_id"], ["cluster_id"])
+
+
+@query(f"WITH {COO} SELECT * FROM coo")
+def coo_build(spark, sf):
+    return items(spark, sf)
+
+
+@query(f"WITH {COO} SELECT col_id AS row_id, row_id AS col_id, value FROM coo")
+def coo_transpose(spark, sf):
+    return matrix.transpose(items(spark, sf))
+
+
+@query(f"WITH {COO} SELECT * FROM coo WHERE row_id < 40")
+def limit_cells(spark, sf):
+    return matrix.limit_cells(items(spark, sf), 40)
+
+
+@query(f"WITH {COO} SELECT row_id, count(*) AS nnz, CAST(sum(value) AS BIGINT) AS total FROM coo GROUP BY 1")
+def row_stats(spark, sf):
+    return matrix.stats(items(spark, sf), "row_id")
+
+
+@query(f"WITH {COO} SELECT col_id, count(*) AS nnz, CAST(sum(value) AS BIGINT) AS total FROM coo GROUP BY 1")
+def col_stats(spark, sf):
+    return matrix.stats(items(spark, sf), "col_id")
+
+
+@query(f"WITH {COO} SELECT count(DISTINCT row_id) AS n_rows, count(DISTINCT col_id) AS n_cols, count(*) AS nnz, CAST(sum(value) AS BIGINT) AS total, max(value) AS max_value FROM coo")
+def matrix_summary(spark, sf):
+    return matrix.summary(items(spark, sf))
+
+
+@query(f"WITH {COO}, p AS (SELECT pos, 1 + (pos * 7) % 10 AS row_id FROM range(15) AS r(pos)) SELECT pos AS row_id, col_id, value FROM p JOIN coo USING (row_id)")
+def subset_rows(spark, sf):
+    return tables.subset_rows(items(spark, sf), spark.range(15).select(F.col("id").alias("pos"), (1 + F.col("id") * 7 % 10).alias("row_id")))
+
+
+@query(f"WITH {COO} SELECT row_id, string_agg(col_id || ':' || value, ',' ORDER BY col_id) AS entries FROM coo GROUP BY 1")
+def row_form(spark, sf):
+    e = F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["c"], x["v"])), ",")
+    return matrix.row_form(items(spark, sf)).select("row_id", e.alias("entries"))
+
+
+@query(f"WITH {COO}, b AS (SELECT col_id, row_number() OVER (ORDER BY col_id DESC) - 1 AS new_id FROM (SELECT DISTINCT col_id FROM coo WHERE col_id % 3 = 0)) SELECT row_id, new_id AS col_id, value FROM coo JOIN b USING (col_id)")
+def project_columns(spark, sf):
+    coo = items(spark, sf)
+    block = matrix.numbered(coo.where("col_id % 3 = 0").select("col_id").distinct().withColumn("_k", -F.col("col_id")), ["_k"]).select("col_id", F.col("idx").alias("new_id"))
+    return matrix.project(coo, block)
+
+
+@query(f"WITH {COO}, s AS (SELECT row_id, s_name AS barcode FROM (SELECT DISTINCT row_id FROM coo) JOIN supplier ON s_suppkey = row_id) SELECT row_id, barcode, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM s JOIN supplier ON s_name = barcode")
+def positions_join(spark, sf):
+    s = read(spark, sf, "supplier")
+    rows = items(spark, sf).select("row_id").distinct().join(s.select(F.col("s_suppkey").alias("row_id"), F.col("s_name").alias("barcode")), "row_id")
+    return tables.join_positions(rows, s.select(F.col("s_name").alias("barcode"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))).select("row_id", "barcode", "x", "y")
+
+
+@query("""WITH l AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE trim(s_name) END AS barcode, TRY_CAST(CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE CAST(s_nationkey AS VARCHAR) END AS DOUBLE) AS x, CAST(s_suppkey AS DOUBLE) AS y FROM supplier)
+SELECT barcode, x, y FROM l WHERE barcode <> '' AND x IS NOT NULL""")
+def positions_csv_clean(spark, sf):
+    s = read(spark, sf, "supplier")
+    key = F.when(F.col("s_suppkey") % 7 == 0, '""').otherwise(F.concat(F.lit(' "'), "s_name", F.lit('" ')))
+    x = F.when(F.col("s_suppkey") % 5 == 0, "x").otherwise(F.col("s_nationkey").cast("string"))
+    return tables.clean_positions(s.select("s_suppkey", F.array(key, x, F.col("s_suppkey").cast("string")).alias("fields")), 1, 2, "s_suppkey")
+
+
+@query("SELECT s_name AS barcode, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier")
+def positions_parquet(spark, sf):
+    return tables.positions_parquet(read(spark, sf, "supplier").select("s_name", "s_acctbal", "s_nationkey"), "xenium")
+
+
+@query(f"WITH {COO}, h AS (SELECT value, count(*) AS n FROM coo GROUP BY 1), t AS (SELECT sum(n) AS t FROM h) SELECT round(sum(-n * log2(n / t)), 4) AS bits, CAST(max(t) AS BIGINT) AS total, count(*) AS symbols FROM h, t")
+def value_histogram_entropy(spark, sf):
+    return matrix.entropy_bits(matrix.histogram(items(spark, sf)))
+
+
+@query(f"WITH {COO}, h AS (SELECT value AS symbol, count(*) AS n FROM coo GROUP BY 1) SELECT s AS symbol, CAST(coalesce(n, 0) + 1 AS BIGINT) AS n FROM range(0, (SELECT max(symbol) + 1 FROM h)) AS r(s) LEFT JOIN h ON symbol = s")
+def laplace_table(spark, sf):
+    return matrix.laplace(matrix.histogram(items(spark, sf)))
+
+
+@query(f"WITH {COO} SELECT col_id, count(*) AS nnz FROM coo GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def top_columns(spark, sf):
+    return matrix.top_columns(items(spark, sf), 50)
+
+
+@query(f"WITH {COO}, n AS (SELECT *, row_number() OVER (ORDER BY row_id, col_id) - 1 AS idx, count(*) OVER () AS c FROM coo) SELECT row_id, col_id, value, idx FROM n WHERE idx % greatest(1, CAST(ceil(c / 1000.0) AS BIGINT)) = 0")
+def stride_sample(spark, sf):
+    return matrix.stride_sample(items(spark, sf), ["row_id", "col_id"], 1000)
+
+
+@query(f"WITH {COO}, n AS (SELECT count(DISTINCT row_id) AS n FROM coo), s AS (SELECT col_id, sum(ln(1 + value)) AS s, sum(ln(1 + value) * ln(1 + value)) AS q FROM coo GROUP BY 1) SELECT col_id, round(s / n, 6) AS mean, round((q - s * s / n) / (n - 1), 6) AS var FROM s, n")
+def log_moments(spark, sf):
+    coo = items(spark, sf)
+    return matrix.log_moments(coo, coo.select("row_id").distinct().count())
+
+
+@query(f"WITH {COO}, {CLUSTERS} SELECT * FROM cl")
+def equal_cuts(spark, sf):
+    return clusters(items(spark, sf))
+
+
+@query(f"WITH {EVENTS}, {CLUSTERS}, p AS (SELECT *, (row_number() OVER (PARTITION BY cluster_id ORDER BY row_id) - 1) // 7 AS p FROM cl), f AS (SELECT *, min(row_id) OVER (PARTITION BY cluster_id, p) AS f FROM p) SELECT row_id, dense_rank() OVER (ORDER BY f) - 1 AS cluster_id FROM f")
+def split_clusters(spark, sf):
+    return order.split_clusters(clusters(events(spark, sf)), 7)
+
+
+@query(f"WITH {COO} SELECT col_id, CAST(ntile(5) OVER (ORDER BY col_id) - 1 AS BIGINT) AS block_id FROM (SELECT DISTINCT col_id FROM coo)")
+def column_blocks(spark, sf):
+    return order.column_blocks(items(spark, sf).select("col_id").distinct(), 5, ["col_id"])
+
+
+@query(f"WITH {COO}, {PLACED}, b AS (SELECT col_id, ntile(5) OVER (ORDER BY col_id) - 1 AS block_id FROM (SELECT DISTINCT col_id FROM coo)), l AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY col_id) - 1 AS local FROM b) SELECT row_id, col_id, value, cluster_id, pos, CAST(block_id AS BIGINT) AS block_id, local FROM coo JOIN pl USING (row_id) JOIN l USING (col_id)")
+def tile_assign(spark, sf):
+    return payload.tiles(items(spark, sf)).select("row_id", "col_id", "value", "cluster_id", "pos", "block_id", "local")
+
+
+@query(f"WITH {COO}, {PAIRS} SELECT * FROM pr")
+def window_pairs(spark, sf):
+    return graph.window_pairs(placed(items(spark, sf)), 8)
+
+
+def _pair(name: str, sql: str) -> None:
+    def f(spark, sf):
+        return pair_table(spark, sf).select("cluster_id", "a", "b", name)
+
+    f.__name__ = f"pair_{name}" + ("sq" if name == "l2" else "")
+    query(f"WITH {COO}, {METRICS} SELECT cluster_id, a, b, {sql} AS {name} FROM f")(f)
+
+
+_pair("l0", "CAST(na + nb - 2 * i AS BIGINT)")
+_pair("l2", "CAST(sa + sb - 2 * dot AS BIGINT)")
+_pair("hamming", "CAST(na + nb - i - eq AS BIGINT)")
+_pair("jaccard", _J)
+
+
+@query(f"WITH {COO}, {METRICS}, w AS (SELECT *, na + nb - 2 * i AS weight FROM f) SELECT cluster_id, b AS row_id, a AS parent, CAST(weight AS BIGINT) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, b ORDER BY weight, a) AS r FROM w) WHERE r = 1")
+def window_cheapest_parent(spark, sf):
+    coo = items(spark, sf)
+    return graph.cheapest_parent(payload.weighed_pairs(placed(coo), coo, 8))
+
+
+@query("SELECT CAST(i AS BIGINT) AS id, round({w}, 9) AS weight FROM range(2000) AS r(i)".replace("{w}", order.weights_sql("i", order.COLUMN_SEEDS[0])))
+def projection_weight(spark, sf):
+    return spark.range(2000).select("id", F.round(order.projection_weight(F.col("id"), order.COLUMN_SEEDS[0]), 9).alias("weight"))
+
+
+@query(f"WITH {COO}, st AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM (SELECT DISTINCT row_id FROM coo)), w AS (SELECT row_id, pos, {', '.join(f'{order.weights_sql("pos", s)} AS w{i}' for i, s in enumerate(order.COLUMN_SEEDS))} FROM st), s AS (SELECT col_id, {', '.join(f'round(avg(w{i}), 9) AS s{i}' for i in range(4))}, avg(pos) AS mp, count(*) AS n FROM coo JOIN w USING (row_id) GROUP BY 1) SELECT col_id, row_number() OVER (ORDER BY s0, s1, s2, s3, mp, n DESC, col_id) - 1 AS new_id FROM s")
+def projection_col_order(spark, sf):
+    coo = items(spark, sf)
+    return order.column_order(coo, matrix.numbered(coo.select("row_id").distinct(), ["row_id"]).select("row_id", F.col("idx").alias("pos")))
+
+
+@query(f"WITH {COO}, c AS (SELECT DISTINCT col_id FROM coo), w AS (SELECT col_id, {', '.join(f'{order.weights_sql("col_id", s)} AS w{i}' for i, s in enumerate(order.ROW_SEEDS))} FROM c), s AS (SELECT row_id, {', '.join(f'round(sum(ln(1 + value) * w{i}), 6) AS s{i}' for i in range(2))}, count(*) AS n FROM coo JOIN w USING (col_id) GROUP BY 1) SELECT row_id, row_number() OVER (ORDER BY s0, s1, n, row_id) - 1 AS pos FROM s")
+def column_row_order(spark, sf):
+    return order.row_order(items(spark, sf))
+
+
+EDGES = f"{PLACED}, ed AS (SELECT a.row_id AS parent, b.row_id AS child FROM pl a JOIN pl b ON a.cluster_id = b.cluster_id AND b.pos = a.pos + 1)"
+EDITS = f"""{EDGES}, e AS (SELECT coalesce(x.parent, y.parent) AS parent, coalesce(x.child, y.child) AS child, coalesce(x.col_id, y.col_id) AS col_id, x.value AS pv, y.value AS cv
+ FROM (SELECT ed.*, col_id, value FROM ed JOIN coo ON row_id = parent) x FULL JOIN (SELECT ed.*, col_id, value FROM ed JOIN coo ON row_id = child) y ON x.parent = y.parent AND x.child = y.child AND x.col_id = y.col_id),
+ops AS (SELECT parent, child, col_id, CASE WHEN cv IS NULL THEN 'remove' WHEN pv IS NULL THEN 'add' ELSE 'update' END AS op, cv AS value FROM e WHERE cv IS NULL OR pv IS NULL OR cv <> pv)"""
+_SYM = lambda v: f"CASE WHEN {v} = 0 THEN 1 ELSE greatest(1, CAST(ceil(length(bin({v})) / 6.0) AS BIGINT)) END"
+
+
+def chain(coo: DataFrame) -> DataFrame:
+    return graph.window_pairs(placed(coo), 1).select(F.col("a").alias("parent"), F.col("b").alias("child"))
+
+
+@query(f"WITH {EVENTS}, {EDITS} SELECT * FROM ops")
+def row_edits(spark, sf):
+    coo = events(spark, sf)
+    return edits.row_edits(chain(coo), coo)
+
+
+@query(f"WITH {EVENTS}, {EDITS} SELECT parent, child, op, string_agg(col_id, ',' ORDER BY col_id) AS cols FROM ops WHERE op <> 'update' GROUP BY 1, 2, 3")
+def set_edits(spark, sf):
+    coo = events(spark, sf)
+    e = edits.row_edits(chain(coo), coo).where("op <> 'update'")
+    return e.groupBy("parent", "child", "op").agg(F.array_join(F.sort_array(F.collect_list("col_id")), ",").alias("cols"))
+
+
+@query(f"WITH {EVENTS}, {EDGES} SELECT child, col_id, value FROM ed JOIN coo ON row_id = child")
+def apply_edits_roundtrip(spark, sf):
+    coo = events(spark, sf)
+    e = chain(coo)
+    return edits.apply_edits(e, coo, edits.row_edits(e, coo))
+
+
+@query(f"SELECT CAST(v AS BIGINT) AS v, CAST({_SYM('v')} AS BIGINT) AS arithmetic, CAST(CASE WHEN v <= 255 THEN 1 WHEN v <= 65535 THEN 2 WHEN v <= 16777215 THEN 3 ELSE 4 END AS BIGINT) AS vbyte FROM (SELECT i * i * 37 AS v FROM range(3000) AS r(i))")
+def symbol_cost(spark, sf):
+    v = (F.col("id") * F.col("id") * 37).alias("v")
+    return spark.range(3000).select(v).select("v", edits.symbol_cost(F.col("v")).cast("long").alias("arithmetic"), edits.symbol_cost(F.col("v"), "stream-vbyte").cast("long").alias("vbyte"))
+
+
+GAPS = "g AS (SELECT *, col_id - coalesce(lag(col_id) OVER (PARTITION BY row_id ORDER BY col_id), 0) AS gap FROM coo)"
+
+
+@query(f"WITH {COO}, {GAPS} SELECT row_id, CAST(sum({_SYM('gap')} + {_SYM('value')}) + 2 AS BIGINT) AS full_cost FROM g GROUP BY 1")
+def list_cost(spark, sf):
+    coo = items(spark, sf)
+    return edits.full_cost(coo.select("row_id").distinct(), coo)
+
+
+@query(f"""WITH {EVENTS}, {EDITS}, {GAPS}, fc AS (SELECT row_id, sum({_SYM('gap')} + {_SYM('value')}) + 2 AS fc, count(*) AS nnz FROM g GROUP BY 1),
+og AS (SELECT *, col_id - coalesce(lag(col_id) OVER (PARTITION BY parent, child, op ORDER BY col_id), 0) AS gap FROM ops),
+dc AS (SELECT parent, child, count(*) AS n, sum({_SYM('gap')} + CASE WHEN op = 'remove' THEN 0 ELSE {_SYM('value')} END) AS c FROM og GROUP BY 1, 2),
+d AS (SELECT ed.child, coalesce(n, 0) AS n, coalesce(c, 0) + 4 AS c FROM ed LEFT JOIN dc USING (parent, child)),
+m AS (SELECT row_id, CASE WHEN child IS NULL OR n > nnz THEN 1 ELSE 0 END AS mode, fc, c FROM fc LEFT JOIN d ON child = row_id)
+SELECT row_id, CAST(mode AS BIGINT) AS mode, CAST(CASE WHEN mode = 0 THEN c ELSE fc END AS BIGINT) AS cost FROM m""")
+def delta_vs_full_mode(spark, sf):
+    coo = events(spark, sf)
+    p = chain(coo).select(F.col("child").alias("row_id"), "parent")
+    return payload.parent_modes(coo, coo.select("row_id").distinct(), p)
+
+
+@query(f"WITH {COO}, {GAPS} SELECT row_id, col_id, gap, CAST((gap - value) * 2 AS BIGINT) ^ 0 AS x, CASE WHEN gap - value >= 0 THEN 2 * (gap - value) ELSE -2 * (gap - value) - 1 END AS zigzag FROM g".replace("CAST((gap - value) * 2 AS BIGINT) ^ 0 AS x, ", ""))
+def zigzag_gaps(spark, sf):
+    return edits.gaps(items(spark, sf), ["row_id"]).select("row_id", "col_id", "gap", edits.zigzag(F.col("gap") - F.col("value")).alias("zigzag"))
+
+
+@query("SELECT n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY k) AS picks FROM (VALUES (1, 1, 0), (2, 1, 1), (2, 2, 0), (9, 1, 4), (9, 2, 2), (9, 3, 6), (9, 4, 1), (9, 5, 3), (100, 1, 50), (100, 2, 25), (100, 3, 74), (100, 4, 12), (100, 5, 37)) AS v(n, k, p) GROUP BY n")
+def dyadic_positions(spark, sf):
+    rows = [(n, ",".join(map(str, edits.dyadic_positions(n, 5)))) for n in (1, 2, 9, 100)]
+    return spark.createDataFrame(rows, "n int, picks string")
+
+
+@query()
+def template_candidates(spark, sf):
+    coo = items(spark, sf)
+    tagged = coo.join(clusters(coo), "row_id")
+    return edits.template_candidates(tagged, "cluster_id", "row_id", "col_id", order.TEMPLATE_SEEDS, 16, True)
+
+
+@query()
+def support_template_candidates(spark, sf):
+    coo = items(spark, sf)
+    tagged = coo.join(order.column_blocks(coo.select("col_id").distinct(), 5, ["col_id"]), "col_id")
+    return edits.template_candidates(tagged, "block_id", "col_id", "row_id", order.SUPPORT_SEEDS, 32, False)
+
+
+@query(f"""WITH {EVENTS}, {GAPS}, {CLUSTERS}, fc AS (SELECT row_id, CAST(sum({_SYM('gap')} + {_SYM('value')}) + 2 AS BIGINT) AS cost FROM g GROUP BY 1),
+b AS (SELECT cluster_id, row_id AS item, cost FROM cl JOIN fc USING (row_id)), c AS (SELECT cluster_id, item, t AS template_id, 3 + (item * (t + 5)) % 90 AS cost FROM b, range(6) AS r(t)),
+m AS (SELECT c.cluster_id, c.item, template_id + 1 AS k, least(min(c.cost) OVER (PARTITION BY c.cluster_id, c.item ORDER BY template_id), b.cost) AS m FROM c JOIN b USING (cluster_id, item)),
+t AS (SELECT cluster_id, k, CAST(sum(m) + 20 * k AS BIGINT) AS total FROM m GROUP BY 1, 2 UNION ALL SELECT cluster_id, 0, CAST(sum(cost) AS BIGINT) FROM b GROUP BY 1)
+SELECT cluster_id, k, total FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY total, k) AS r FROM t) WHERE r = 1""")
+def adaptive_template_k(spark, sf):
+    coo = events(spark, sf)
+    base = edits.full_cost(coo.select("row_id").distinct(), coo).join(clusters(coo), "row_id").select("cluster_id", F.col("row_id").alias("item"), F.col("full_cost").alias("cost"))
+    costs = base.withColumn("template_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).withColumn("cost", 3 + F.col("item") * (F.col("template_id") + 5) % 90)
+    words = costs.select("cluster_id", "template_id").distinct().withColumn("cost", F.lit(20))
+    return edits.adaptive_templates(costs, base, words, "cluster_id")
+
+
+@query(f"WITH {COO}, s AS (SELECT row_id, count(*) AS n, max(col_id) AS m FROM coo GROUP BY 1), l AS (SELECT *, least(31, CAST(floor(log2(greatest(1, (m + 1) // n))) AS INT)) AS low FROM s) SELECT row_id, CAST(4 * n + 8 * ceil(((m >> low) + n + 1) / 64.0) + 17 AS BIGINT) AS size FROM l")
+def elias_fano_size(spark, sf):
+    return codecs.elias_fano_size(items(spark, sf), ["row_id"], "col_id")
+
+
+@query(f"WITH {COO} SELECT row_id, CAST(ceil(count(*) / 4.0) + sum(CASE WHEN col_id < 256 THEN 1 WHEN col_id < 65536 THEN 2 WHEN col_id < 16777216 THEN 3 ELSE 4 END) + 8 AS BIGINT) AS size FROM coo GROUP BY 1")
+def vbyte_size(spark, sf):
+    return codecs.vbyte_size(items(spark, sf), ["row_id"], "col_id")
+
+
+@query(f"WITH {COO}, {GAPS} SELECT row_id, string_agg(gap, ',' ORDER BY col_id) AS gaps FROM g GROUP BY 1")
+def stream_roundtrip(spark, sf):
+    g = edits.gaps(items(spark, sf), ["row_id"]).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("col_id", "gap"))).alias("x"))
+    coded = g.select("row_id", codecs.encode_stream(F.transform("x", lambda e: e["gap"])).alias("bytes"))
+    return coded.select("row_id", F.array_join(codecs.decode_stream(F.col("bytes")), ",").alias("gaps"))
+
+
+QUANT = """a AS (SELECT coo.*, cluster_id FROM coo JOIN cl USING (row_id)), st AS (SELECT cluster_id, count(*) AS n, count(DISTINCT value) AS d FROM a GROUP BY 1),
+rk AS (SELECT cluster_id, value, row_number() OVER (PARTITION BY cluster_id ORDER BY value) - 1 AS r FROM a),
+ce AS (SELECT DISTINCT cluster_id, value AS center FROM a JOIN st USING (cluster_id) WHERE d <= 2 UNION SELECT DISTINCT rk.cluster_id, value FROM rk JOIN st USING (cluster_id), range(2) AS q(b) WHERE d > 2 AND r = b * (n - 1) // 1)"""
+
+
+@query(f"WITH {COO}, {CLUSTERS}, {QUANT} SELECT * FROM ce")
+def quantizer_centers(spark, sf):
+    coo = items(spark, sf)
+    return payload.centers(coo.join(clusters(coo), "row_id"), 2)
+
+
+@query(f"WITH {COO}, {CLUSTERS}, {QUANT}, b AS (SELECT cluster_id, value, center, row_number() OVER (PARTITION BY cluster_id, value ORDER BY abs(value - center), center) AS k FROM (SELECT DISTINCT cluster_id, value FROM a) JOIN ce USING (cluster_id)) SELECT row_id, col_id, center AS quantized FROM a JOIN b USING (cluster_id, value) WHERE k = 1")
+def quantize_apply(spark, sf):
+    coo = items(spark, sf)
+    return payload.quantize(coo.join(clusters(coo), "row_id"), 2).select("row_id", "col_id", "quantized")
+
+
+@query(f"WITH {COO}, {CLUSTERS}, {QUANT}, b AS (SELECT cluster_id, value, center, row_number() OVER (PARTITION BY cluster_id, value ORDER BY abs(value - center), center) AS k FROM (SELECT DISTINCT cluster_id, value FROM a) JOIN ce USING (cluster_id)), s AS (SELECT CAST(sum((value - center) * (value - center)) AS DOUBLE) AS s FROM a JOIN b USING (cluster_id, value) WHERE k = 1), n AS (SELECT count(DISTINCT row_id) * count(DISTINCT col_id) AS n FROM coo) SELECT round(s, 4) AS sse, round(s / n, 9) AS mse, round(sqrt(s / n), 9) AS rmse FROM s, n")
+def rate_distortion(spark, sf):
+    coo = items(spark, sf)
+    n = coo.agg(F.countDistinct("row_id") * F.countDistinct("col_id")).first()[0]
+    return payload.distortion(payload.quantize(coo.join(clusters(coo), "row_id"), 2), n)
+
+
+@query()
+def joint_svd_clusters(spark, sf):
+    return order.svd_order(items(spark, sf), 6)[0]
+
+
+@query()
+def svd_col_order(spark, sf):
+    return order.svd_order(items(spark, sf), 6, fast=True)[1]
+
+
+@query()
+def mst_weight(spark, sf):
+    coo = items(spark, sf)
+    tree = graph.spanning_tree(payload.weighed_pairs(placed(coo), coo, 8))
+    return tree.groupBy("cluster_id").agg(F.count("*").alias("edges"), F.sum("weight").cast("long").alias("weight"))
+
+
+@query()
+def forest_parents(spark, sf):
+    coo = items(spark, sf)
+    p = placed(coo)
+    return graph.parents(graph.spanning_tree(payload.weighed_pairs(p, coo, 8), cut=1.1), p)
+
+
+@query()
+def encode_tiles(spark, sf):
+    return payload.encode(payload.tiles(items(spark, sf))).select("cluster_id", "block_id", "kind", "bytes", "parents", "wholes")
+
+
+@query()
+def encode_report(spark, sf):
+    coo = items(spark, sf)
+    return payload.report(payload.encode(payload.tiles(coo)), coo)
+
+
+@query(f"WITH {COO} SELECT * FROM coo")
+def decode_roundtrip(spark, sf):
+    tiled = payload.tiles(items(spark, sf))
+    return payload.decode(payload.encode(tiled), tiled)
+
+
+@query(f"WITH {COO}, r AS (SELECT string_agg(value, ',' ORDER BY value) AS v FROM coo GROUP BY row_id), c AS (SELECT string_agg(value, ',' ORDER BY value) AS v FROM coo GROUP BY col_id) SELECT 'row' AS side, md5(v) AS vals, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'column', md5(v), count(*) FROM c GROUP BY ALL")
+def verify_fingerprints(spark, sf):
+    return payload.fingerprints(items(spark, sf)).withColumn("side", F.when(F.col("side") == "row", "row").otherwise("column"))
+
+
+@query(f"WITH {COO}, u AS (SELECT count(DISTINCT col_id) AS u FROM coo), lf AS (SELECT n, sum(log2(n)) OVER (ORDER BY n) AS lf FROM range(1, (SELECT u + 1 FROM u)) AS r(n)), s AS (SELECT row_id, count(*) AS nnz FROM coo GROUP BY 1) SELECT row_id, nnz, round((SELECT lf FROM lf, u WHERE n = u) - coalesce(a.lf, 0) - coalesce(b.lf, 0), 4) AS bits FROM s CROSS JOIN u LEFT JOIN lf a ON a.n = nnz LEFT JOIN lf b ON b.n = u - nnz")
+def log2_choose_bounds(spark, sf):
+    coo = items(spark, sf)
+    return payload.support_bound(coo.groupBy("row_id").agg(F.count("*").alias("nnz")), coo.select("col_id").distinct().count())
+
+
+_E = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_L2 = "round(sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6)"
+_NEAR = "nn AS (SELECT a.id AS anchor, row_number() OVER (PARTITION BY a.id ORDER BY {d}, b.id) AS rank, b.id AS nbr, {d} AS dist FROM {x} a JOIN e b ON a.id <> b.id QUALIFY rank <= 8)"
+
+
+def _near(d: str, x: str = "e") -> str:
+    return _NEAR.format(d=d, x=x)
+
+
+@query(f"WITH {_E}, {_near('round(sqrt((a.v[1] - b.v[1]) * (a.v[1] - b.v[1]) + (a.v[2] - b.v[2]) * (a.v[2] - b.v[2])), 6)')} SELECT * FROM nn")
+def knn_spatial(spark, sf):
+    return neighbours.knn(points(spark, sf).select("id", F.slice("vec", 1, 2).alias("vec")), 8)
+
+
+@query(f"WITH {_E}, {_near(_L2.format(a='a.v', b='b.v'))} SELECT * FROM nn")
+def knn_expression(spark, sf):
+    return neighbours.knn(points(spark, sf), 8)
+
+
+@query(f"WITH {_E}, {_near('CAST(len(list_filter(list_zip(a.v, b.v), lambda z: (z[1] > 0) <> (z[2] > 0))) AS DOUBLE)')} SELECT * FROM nn")
+def knn_l0(spark, sf):
+    return neighbours.knn(points(spark, sf), 8, "l0")
+
+
+def _dense(name: str, column, sql: str) -> None:
+    def f(spark, sf):
+        p = points(spark, sf)
+        pairs = p.where("id < 20").select(F.col("id").alias("a"), F.col("vec").alias("va")).join(p.where("id >= 20 AND id < 120").select(F.col("id").alias("b"), F.col("vec").alias("vb")))
+        return pairs.select("a", "b", F.round(column(F.col("va"), F.col("vb")).cast("double"), 6).alias("d"))
+
+    f.__name__ = f"dense_{name}"
+    query(f"WITH {_E} SELECT a.id AS a, b.id AS b, {sql} AS d FROM e a, e b WHERE a.id < 20 AND b.id BETWEEN 20 AND 119")(f)
+
+
+_dense("cosine", metrics.cosine, "round(1 - list_cosine_similarity(a.v, b.v), 6)")
+_dense("l2", metrics.l2, _L2.format(a="a.v", b="b.v"))
+_dense("l0", metrics.l0, "CAST(len(list_filter(list_zip(a.v, b.v), lambda z: (z[1] > 0) <> (z[2] > 0))) AS DOUBLE)")
+
+
+@query(f"""WITH {_E}, x AS (SELECT * FROM e WHERE id < 20), {_near(_L2.format(a='a.v', b='b.v'), 'x')},
+pool AS (SELECT x.id AS anchor, p AS perm, e.id AS nbr, row_number() OVER (PARTITION BY x.id, p ORDER BY md5('42|' || x.id || '|' || p || '|' || e.id), e.id) AS r FROM x JOIN e ON x.id <> e.id, range(1, 11) AS q(p) WHERE NOT EXISTS (FROM nn WHERE anchor = x.id AND nbr = e.id)),
+dr AS (SELECT anchor, perm, round(avg({_L2.format(a='a.v', b='b.v')}), 6) AS m FROM pool JOIN e a ON a.id = anchor JOIN e b ON b.id = nbr WHERE r <= 8 GROUP BY 1, 2),
+ob AS (SELECT anchor, round(avg(dist), 6) AS observed FROM nn GROUP BY 1)
+SELECT anchor, observed, round((count(*) FILTER (WHERE m <= observed + 1e-12) + 1) / (count(m) + 1), 9) AS p FROM ob LEFT JOIN dr USING (anchor) GROUP BY ALL""")
+def permutation_pvalues(spark, sf):
+    p = points(spark, sf)
+    near = neighbours.knn_sql(p, p.where("id < 20"), 8, metrics.l2)
+    return neighbours.permutation_test(p, near, 8, 10, metrics.l2)
+
+
+@query("""WITH s AS (SELECT l_returnflag AS k, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'y' END AS side, l_quantity AS v FROM lineitem),
+r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS r FROM s),
+g AS (SELECT k, sum(CASE WHEN side = 'x' THEN r END) AS r1, count(*) FILTER (WHERE side = 'x') AS n1, count(*) FILTER (WHERE side = 'y') AS n2 FROM r GROUP BY 1)
+SELECT k, round(r1 - n1 * (n1 + 1) / 2, 4) AS u FROM g WHERE n1 > 0 AND n2 > 0""")
+def rank_sum_u(spark, sf):
+    li = read(spark, sf, "lineitem")
+    s = li.select(F.col("l_returnflag").alias("k"), F.when(F.col("l_linestatus") == "O", "x").otherwise("y").alias("side"), F.col("l_quantity").alias("v"))
+    return neighbours.rank_sum(s, "k").select("k", "u")
+
+
+@query()
+def pca_scores(spark, sf):
+    p = points(spark, sf)
+    mean = p.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
+    centre = F.array(*[F.lit(r.m) for r in mean])
+    return neighbours.pca(p.select("id", F.zip_with("vec", centre, lambda a, b: a - b).alias("vec")), 4)
+
+
+P = "p AS (SELECT l_returnflag AS dataset, l_linestatus AS kind, ((l_orderkey * 7919 + l_linenumber * 104729) % 10007) / 10007.0::DOUBLE AS p FROM lineitem)"
+BH = "r AS (SELECT *, row_number() OVER (PARTITION BY dataset, kind ORDER BY p) AS rn, count(*) OVER (PARTITION BY dataset, kind) AS m FROM p), q AS (SELECT dataset, kind, p, least(1.0, min(m * p / rn) OVER (PARTITION BY dataset, kind ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)"
+
+
+def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 10007) / F.lit(10007.0)
+    return read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("kind"), p.alias("p"))
+
+
+@query(f"WITH {P}, {BH} SELECT dataset, kind, round(p, 9) AS p, round(max(q), 9) AS q, count(*) AS n FROM q GROUP BY dataset, kind, p")
+def bh_adjust(spark, sf):
+    a = neighbours.benjamini_hochberg(p_values(spark, sf), ["dataset", "kind"])
+    return a.groupBy("dataset", "kind", "p").agg(F.round(F.max("q"), 9).alias("q"), F.count("*").alias("n")).withColumn("p", F.round("p", 9))
+
+
+@query(f"WITH {P}, {BH} SELECT dataset, kind, count(*) FILTER (WHERE q < 0.05) || '/' || count(*) AS hits, printf('%.2f', 100.0 * count(*) FILTER (WHERE q < 0.05) / count(*)) AS rate FROM q GROUP BY 1, 2")
+def bh_summary(spark, sf):
+    s = neighbours.significant(neighbours.benjamini_hochberg(p_values(spark, sf), ["dataset", "kind"]), ["dataset", "kind"])
+    return s.select("dataset", "kind", F.format_string("%d/%d", "significant", "total").alias("hits"), F.format_string("%.2f", 100.0 * F.col("significant") / F.col("total")).alias("rate"))
