@@ -115,7 +115,7 @@ class Plan:
         far = most_apart(self.top(band), self.top(band))
         if not far:
             return s[:0]  # only equal sets can link
-        salt = np.uint64(band + 1) * np.uint64(0xA24BAED4963EE407)
+        salt = np.uint64((band + 1) * 0xA24BAED4963EE407 % (1 << 64))
         deleted = band in self.deletions
         m = -(-(far + 1) // 2) if deleted else 2 * (far + 1)
         x = mixed(s ^ salt)
