@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Word separators of the word contracts: space, tab, \n, \v, \f, \r.
 SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Ids that are sent to every executor (8 bytes each); beyond it tables are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +51,10 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most ``most`` rows; beyond it joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

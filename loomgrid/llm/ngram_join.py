@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import partitions, table, written
+from .common import partitions, sized, table, written
 from .components import connected_components
 from .packed import mixed
 
@@ -42,8 +42,6 @@ SHARE = 80
 #: Texts that estimate costs and rare shingles, and shingles of them that count as frequent; both only steer cost.
 SAMPLE, FREQUENT = 3000, 100_000
 BINS = 256
-#: Ids of documents to fetch that are sent to every executor (8 bytes each); beyond it texts are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 _ENTRY = {"sig": "<u8", "entry_cls": "<i8"}
 
 
@@ -284,9 +282,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
             s = [shingles(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["cls", "s"])
 
-    docs = written(spark, close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct(), f"{name}-docs")
-    if docs.count() <= BROADCAST_IDS:
-        docs = F.broadcast(docs)
+    docs = sized(written(spark, close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct(), f"{name}-docs"))
     # rows that share a doc_id can have other sets: the class tells them apart
     known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls long, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none")
 
