@@ -42,6 +42,8 @@ SHARE = 80
 #: Texts that estimate costs and rare shingles, and shingles of them that count as frequent; both only steer cost.
 SAMPLE, FREQUENT = 3000, 100_000
 BINS = 256
+#: Classes of an index entry that are compared as one group; larger entries are split into blocks.
+BLOCK = 1024
 _ENTRY = {"sig": "<u8", "entry_cls": "<i8"}
 
 
@@ -296,17 +298,26 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
 
 
 def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an entry's classes that are in different components and that histograms don't rule out."""
-    tagged = members.select(F.col("a").alias("sig"), F.col("b").alias("cls")).join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed_ = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    rows = tagged.join(mixed_, "sig", "left_semi").join(classes.select("cls", "hist"), "cls").select("sig", "cls", "label", "hist")
+    """Pairs (a, b) of an entry's classes that are in different components and that histograms don't rule out.
 
-    def tiles(group: list) -> Iterator[pa.RecordBatch]:
-        cls, label = (np.array([g[i] for g in group], dtype=np.int64) for i in (0, 1))
-        hist = np.frombuffer(b"".join(g[2] for g in group), "<u2").reshape(-1, BINS).astype(np.int32)
+    An entry of more than ``BLOCK`` classes is dealt into blocks by a hash, and each pair of blocks is a group of its own, so that
+    no task holds more than about two blocks at once and a common segment's work spreads over all tasks."""
+    spark = members.sparkSession
+    tagged = members.select(F.col("a").alias("sig"), F.col("b").alias("cls")).join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    tagged = written(spark, tagged, "members")
+    several = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("sig", "blocks")
+    rows = tagged.join(sized(written(spark, several, "several")), "sig").join(classes.select("cls", "hist"), "cls")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).select("sig", "cls", "label", "hist", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "label", "hist")
+
+    def tiles(across: bool, group: list) -> Iterator[pa.RecordBatch]:
+        own, cls, label = (np.array([g[i] for g in group], dtype=np.int64) for i in (0, 1, 2))
+        hist = np.frombuffer(b"".join(g[3] for g in group), "<u2").reshape(-1, BINS).astype(np.int32)
         size = hist.sum(1)
-        for i in range(len(group) - 1):
-            other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        left = int((own == own[0]).sum())  # rows come sorted by block
+        for i in range(left):
+            start = left if across else i + 1
+            other = np.flatnonzero(label[start:] != label[i]) + start
             for part in np.array_split(other, max(1, len(other) // 4096)):
                 ok = part[np.abs(hist[part] - hist[i]).sum(1) <= most_apart(size[part], size[i])]
                 if len(ok):
@@ -316,17 +327,17 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "cls", "label", "hist")), strict=True):
-                if row[0] != at and group:
-                    yield from tiles(group)
-                    group = []
-                at = row[0]
-                group.append(row[1:])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "x", "y", "own", "cls", "label", "hist")), strict=True):
+                if row[:3] != at:
+                    if group:
+                        yield from tiles(at[1] != at[2], group)
+                    at, group = row[:3], []
+                group.append(row[3:])
         if group:
-            yield from tiles(group)
+            yield from tiles(at[1] != at[2], group)
 
-    n = partitions(members.sparkSession)
-    return rows.repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+    n = partitions(spark)
+    return rows.repartition(n, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "own").mapInArrow(run, "a long, b long").distinct()
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

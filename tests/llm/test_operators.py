@@ -78,7 +78,8 @@ def brute_components(rows):
 
 
 @pytest.mark.parametrize("frequent", [False, True])
-def test_ngram_join(spark, frequent):
+def test_ngram_join(spark, frequent, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)  # entries split into many blocks
     r, rows = random.Random(3), []
     common = " ".join(f"c{i}" for i in range(40))
     for g in range(12):
@@ -93,6 +94,29 @@ def test_ngram_join(spark, frequent):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_blocks_of_an_entry_lose_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[r.integers(0, 9) :], r.integers(0, 1 << 63, r.integers(0, 9), dtype=np.uint64)]) for _ in range(50)]
+    classes = [(i + 1, i, ngram_join.histogram(s)) for i, s in enumerate(sets)]
+    members = [(1, 9 if i % 3 else 8, i + 1) for i in range(50)]
+    labels = [(i + 1, min(i + 1, 5 * (i // 20) + 1)) for i in range(0, 50, 2)]
+    of = dict(labels)
+    want = set()
+    for (_, s, a), (_, t, b) in itertools.combinations(members, 2):
+        x, y = (np.frombuffer(classes[c - 1][2], "<u2") for c in (a, b))
+        if s == t and of.get(a, a) != of.get(b, b) and not ngram_join._apart(x, y):
+            want.add((a, b))
+    got = ngram_join.remaining(
+        spark.createDataFrame(members, "kind int, a long, b long"),
+        spark.createDataFrame(labels, "node long, label long"),
+        spark.createDataFrame(classes, "cls long, doc long, hist binary"),
+    ).collect()
+    assert want and len(got) == len(want) and {tuple(x) for x in got} == want
+
+
 def test_both_indexes_find_every_link():
     r = random.Random(9)
     for _ in range(300):
