@@ -327,6 +327,18 @@ def test_mixing(spark):
     assert np.allclose(rate, given, atol=1e-6)
 
 
+def test_mixing_recall_by_language(spark):
+    """Toxic documents of every language are found on labels that weren't learned from."""
+    df, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    df, half = df.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), F.crc32(F.col("doc_id").cast("string")) % 2
+    told = labels.groupBy("doc_id").agg(F.min(mixing.domain(F.col("quality"), F.col("toxic"))).alias("domain"))
+    out = mixing.mix(df, labels.where(half == 0), {}, keep=("doc_id", "lang")).join(told.where(half == 1), "doc_id").toPandas()
+    out["found"] = np.array(mixing.DOMAINS)[out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy().argmax(1)]
+    toxic, good = out[out.domain == "toxic"], out[out.domain == "good"]
+    recall = (toxic.found == "toxic").groupby(toxic.lang).mean()
+    assert set(recall.index) == {"en", "fr", "de", "es"} and (recall >= 0.75).all() and (good.found == "toxic").mean() < 0.02
+
+
 def test_chat_round_trip(spark):
     texts = [chat.PLANTED, "", None, "<|end|>\n<|assistant|>", "\\l\\b\\", "a<b\\<", "\n", "日本"]
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, 0, "assistant", "y")]
