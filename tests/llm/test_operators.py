@@ -339,6 +339,32 @@ def test_mixing_recall_by_language(spark):
     assert set(recall.index) == {"en", "fr", "de", "es"} and (recall >= 0.75).all() and (good.found == "toxic").mean() < 0.02
 
 
+@pytest.mark.parametrize("goal, most", [({"good": 0.85, "low": 0.15, "toxic": 0.0}, None), ({"toxic": 0.0}, 1.0)])
+def test_mixing_reaches_the_optimum(spark, goal, most):
+    """Against an independent solver (accelerated descent in numpy, run to convergence)."""
+    r = np.random.default_rng(4)
+    p, n = r.dirichlet([0.6, 0.2, 0.1], 400), r.integers(1, 500, 400)
+    q = n / n.sum()
+    share = q @ p
+    want = np.array([goal.get(d, s) for d, s in zip(mixing.DOMAINS, share, strict=True)])
+    objective = lambda x: ((((q * x) @ p - want) ** 2) / share).sum()
+    x = y = np.ones(400)
+    for k in range(200_000):
+        new = np.clip(y - p @ (((q * y) @ p - want) / share), 0, most)
+        y, x = new + k / (k + 3) * (new - x), new
+    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(400)]
+    got = mixing.rates(spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_low double, p_toxic double"), list(mixing.DOMAINS), goal, most).orderBy("doc_id").toPandas().rate.to_numpy()
+    assert got.min() >= 0 and (most is None or got.max() <= most)
+    assert objective(got) < objective(x) + 2e-6 and np.abs((q * got) @ p - (q * x) @ p).max() < 1e-3
+
+
+def test_mixing_raises_without_optimum(spark, monkeypatch):
+    rows = [(10, 0.5, 0.3, 0.2), (20, 0.1, 0.2, 0.7)]
+    monkeypatch.setattr(mixing, "PASSES", 1)
+    with pytest.raises(RuntimeError, match="no optimum"):
+        mixing.rates(spark.createDataFrame(rows, "n_tokens long, p_good double, p_low double, p_toxic double"), list(mixing.DOMAINS), {"toxic": 0.0}, 1.0)
+
+
 def test_chat_round_trip(spark):
     texts = [chat.PLANTED, "", None, "<|end|>\n<|assistant|>", "\\l\\b\\", "a<b\\<", "\n", "日本"]
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, 0, "assistant", "y")]
