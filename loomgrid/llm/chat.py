@@ -3,8 +3,8 @@ r"""Chat formatting by event-sourced reconstruction (DataFrame functions only).
 A log of events (conv_id, message_id, seq, kind, role, text) is partitioned by conversation and sorted by ``seq``.
 ``delta`` appends; ``edit`` replaces the message's text; ``regenerate`` does so too and drops the messages begun between
 the message and it (the abandoned branch). The fold is per message first, so the text of one conversation meets only as
-its finished messages. Rendering: ``<|role|>`` text ``<|end|>`` newline; inside roles and texts ``\`` becomes ``\b`` and
-``<`` becomes ``\l``, so no control string can appear in them, and each escape is undone by the reverse replacements.
+its finished messages. Rendering: ``<|role|>`` text ``<|end|>`` newline; inside roles and texts ``\`` becomes ``\b``,
+``<`` becomes ``\l`` and, in roles, ``|`` becomes ``\p``, so no control string can appear in them, and each escape is undone by the reverse replacements.
 
 Defined results: null text is empty, null role is the empty role; rows that tie in ``turn`` are ordered by role, then
 text, and repeated rows are turns of their own; a null conv_id is one conversation; an empty log gives no rows. A
@@ -26,8 +26,12 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("|"), F.lit("\\p"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(text, F.lit("\\p"), F.lit("|")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, loss): ``loss`` has, for each turn, where in its rendering the text to learn starts and how long it is (0: none)."""
-    head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>"))
+    head = F.concat(F.lit("<|"), escape_role(F.col("role")), F.lit("|>"))
     body = escape(F.col("text"))
     turn = F.struct(
         "first_seq",
@@ -80,14 +84,28 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(turns: DataFrame) -> DataFrame:
-    """Each row of (conv_id, turn, role, text) as a start event and one delta."""
+    """A log that a chat service might have kept of (conv_id, turn, role, text) rows, whose fold gives them back.
+
+    Every message starts and streams its text in two deltas. Of four messages by the hash of their text, one is first streamed as
+    a draft and then edited, one is answered by a message that its regeneration abandons, and one is edited twice."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("message_id", F.row_number().over(order).cast("long"))
-    kinds = F.array(
-        F.struct(F.lit("start").alias("kind"), (2 * F.col("message_id")).alias("seq"), F.lit("").alias("text")),
-        F.struct(F.lit("delta").alias("kind"), (2 * F.col("message_id") + 1).alias("seq"), F.col("text").alias("text")),
+    text, way = F.coalesce(F.col("text"), F.lit("")), F.pmod(F.xxhash64("text"), F.lit(4))
+    half = F.floor(F.length(text) / 2).cast("int")
+    head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+
+    def event(step: int, kind: str, said: Column, own: bool = True) -> Column:
+        # a message that is abandoned has the odd number after the one that it answers
+        return F.struct((2 * F.col("message_id") + (0 if own else 1)).alias("message_id"), F.lit(kind).alias("kind"), (8 * F.col("message_id") + step).alias("seq"), said.alias("text"))
+
+    start, plain = event(0, "start", F.lit("")), [event(6, "delta", head), event(7, "delta", tail)]
+    log = (
+        F.when(way == 0, F.array(start, event(1, "delta", F.concat(tail, F.lit(" draft"))), event(2, "edit", F.lit("")), *plain))
+        .when(way == 1, F.array(start, event(1, "delta", tail), event(2, "start", F.lit(""), False), event(3, "delta", head, False), event(5, "regenerate", F.lit("")), *plain))
+        .when(way == 2, F.array(start, event(1, "edit", tail), event(2, "edit", F.lit("again")), event(6, "edit", head), event(7, "delta", tail)))
+        .otherwise(F.array(start, *plain))
     )
-    return rows.withColumn("e", F.explode(kinds)).select("conv_id", "message_id", "role", "e.kind", "e.seq", "e.text")
+    return rows.withColumn("e", F.explode(log)).select("conv_id", "e.message_id", "role", "e.kind", "e.seq", "e.text")
 
 
 def format_conversations(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -107,7 +125,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, i, ['user', 'assistant'][i + 1], '\### Assistant: </turn> ok' FROM range(2) AS r(i)),
-e AS (SELECT *, replace(replace(role, '\', '\b'), '<', '\l') AS er, replace(replace(text, '\', '\b'), '<', '\l') AS et FROM c),
+e AS (SELECT *, replace(replace(replace(role, '\', '\b'), '<', '\l'), '|', '\p') AS er, replace(replace(text, '\', '\b'), '<', '\l') AS et FROM c),
 a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
              coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
              sum(2 + length(er) + 2 + length(et) + 8) AS formatted_chars FROM e GROUP BY conv_id)

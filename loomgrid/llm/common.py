@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Ids that are sent to every executor (8 bytes each); beyond it tables are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+_LEFT: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,21 +37,48 @@ def hex_sha256(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; set here only where the session leaves it unset."""
+    """Folder that the driver and all executors see; set here only where the session leaves it unset, which a cluster must not."""
     ctx = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
     if not base:
-        base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints")
+        if not ctx.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
     if not ctx.getCheckpointDir():
         ctx.setCheckpointDir(base)
     return base
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors. ``by``: a column to
+    partition its files by. ``drop`` removes it; tables that are left (results may still read them) go when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _LEFT:
+        atexit.register(_clear, spark)
+    _LEFT.add(path)
+    writer = df.write.option("compression", codec)
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _LEFT.discard(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    if spark._jsc is not None and spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        for path in list(_LEFT):
+            _remove(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_at)
 
 
 def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -56,5 +86,31 @@ def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def ordered_keys(df: DataFrame, id: str, text: str, key: str = "key") -> DataFrame:
+    """``df``, written, with a unique long ``key`` that rises with (id, hash of the text), null ids first; equal rows in any order."""
+    spark = df.sparkSession
+    rows = df.withColumn("_h", F.xxhash64(text)).withColumn("_m", F.monotonically_increasing_id())
+    order = [F.col(id).asc_nulls_first(), F.col("_h"), F.col("_m")]  # a third key, so that no number of equal rows shares one range
+    dealt = written(spark, rows, "unordered").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    return written(spark, dealt.drop("_h", "_m").withColumn(key, F.monotonically_increasing_id()), "ordered")
+
+
+def distinct_ids(df: DataFrame, id: str) -> bool:
+    """Whether no id repeats or is null."""
+    most, nulls = df.groupBy(id).count().agg(F.max("count"), F.count_if(F.col(id).isNull())).first()
+    return (most or 1) == 1 and not nulls
+
+
+def running(values: Column, add: Callable[[Column, Column], Column] = lambda a, x: a + x, zero: Column | None = None, levels: int = 2) -> Column:
+    """Running totals of an array, in runs of 64 items whose totals are summed in the same way: work stays close to its length."""
+    zero = F.lit(0) if zero is None else zero
+    fold = lambda a: F.aggregate(a, zero, add)
+    if not levels:
+        return F.transform(values, lambda _, i: fold(F.slice(values, F.lit(1), i + 1)))
+    runs = lambda v: F.transform(F.filter(F.transform(v, lambda _, i: i), lambda i: i % 64 == 0), lambda i: fold(F.slice(v, i + 1, F.lit(64))))
+    inner = lambda v, t: F.transform(v, lambda _, i: add(F.when(i < 64, zero).otherwise(F.get(t, (i / 64).cast("int") - 1)), fold(F.slice(v, (i / 64).cast("int") * 64 + 1, i % 64 + 1))))
+    return let(values, lambda v: let(let(runs(v), lambda r: running(r, add, zero, levels - 1)), lambda t: inner(v, t)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,23 +1,29 @@
 r"""Document fingerprints by Order MinHash (DataFrame functions only).
 
-A text is cut into tokens ``\S{1,8}\s*`` (every code point from the first non-space on lies in one; leading space is a
-token); runs of three tokens are the k-mers, numbered by occurrence. Each numbered k-mer gets a hash on a ring of
+A text is cut into tokens (every code point from the first non-space on lies in one; leading space is a token): a word, or the end of a run
+without spaces, of up to ``WORD`` code points is one with the space after it; longer runs are cut after each code point of ``CUT`` (some letters and
+digits, marks, and all letters of scripts written without spaces), so that an edit changes the tokens near it alone. Runs of three tokens are
+the k-mers, numbered by occurrence. Each numbered k-mer gets a hash on a ring of
 ``2 * half`` equal arcs. Sketch j takes the ``length`` k-mers that follow the start of arc j clockwise: the minimal ones under
 the j-th rotation of the order, so one sort serves all sketches. They are put back into text order and their tuple is hashed.
 The share of equal sketches falls with edit distance, as order and repetition count, not only the set.
 
 Defined results: null text is empty; a text of fewer than three tokens is a single k-mer; empty texts are all alike;
-rows that share a doc_id are ordered by text; a null doc_id comes first; other columns are not read.
+rows that share a doc_id are ordered by a hash of their text; null ids come first; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hex_sha256, let, table
+from .common import hex_sha256, let, partitions, table
 
-TOKEN = r"^\s+|\S{1,8}\s*"
+WORD = 12
+CUT = r"aeiouAEIOU048/+=_.,;:&?#%\-\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+TOKEN = rf"^\s+|\S{{1,{WORD}}}(?:\s+|\z)|[^\s{CUT}]*+[{CUT}]\s*+|\S+\s*"
 SKETCHES = 32
 TUPLE = 2
 KMER = 3
@@ -86,24 +92,28 @@ def shown(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str], buckets: int) -> DataFrame:
-    """``docs`` with ``next_<c>`` for each carried column from the row that follows in ``order`` (the last row's next is the first).
-
-    Rows are dealt by ranges of ``order``; each range also gets the first row of the following range, so no task sees more than its range."""
-    cuts = sorted(set(docs.stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    key = F.coalesce(F.col(order), F.lit(-(1 << 63)))
-    bucket = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        bucket = F.size(F.filter(bounds, lambda c: c <= key))
-    dealt = docs.select("*", bucket.alias("_b"), key.alias("_k"))
-    heads = sorted((r["_b"], r["k"]) for r in dealt.groupBy("_b").agg(F.min("_k").alias("k")).collect())  # one row a range
+def with_next(docs: DataFrame, order: str, text: str, carried: list[str], buckets: int) -> DataFrame:
+    """``docs`` with ``next_<c>`` for each carried column from the row that follows in ``order``, equal ids by a hash of ``text`` (the last row's next is the first).
+
+    Rows are dealt by ranges of id and hash; each range also gets the first row of the following range, so no task sees more than its range."""
+    key = F.struct(F.col(order).isNotNull().alias("s"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("i"), F.xxhash64(text).alias("h"))
+    keyed = docs.select("*", key.alias("_k"))
+    listed = lambda keys: F.from_json(F.lit(json.dumps([dict(zip("sih", k, strict=True)) for k in keys])), "array<struct<s: boolean, i: bigint, h: bigint>>")
+    some = keyed.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(16 * buckets).collect()  # a sample by hash: cuts move work, not results
+    cuts = sorted({tuple(r["_k"]) for r in some})[16::16]
+    bounds = listed(cuts)
+    coarse = F.filter(bounds, lambda _, i: i % 64 == 63)  # every 64th cut first, then those between
+    below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("_k")))
+    dealt = keyed.withColumn("_b", let(below(coarse) * 64, lambda at: at + below(F.slice(bounds, at + 1, F.lit(64)))))
+    heads = dict(sorted((r["_b"], tuple(r["k"])) for r in dealt.groupBy("_b").agg(F.min("_k").alias("k")).collect()))  # one row a range
     if not heads:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    # a range without rows has no head; the head of range i is also sent to the range with rows before it
-    to = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
-    wrap = heads[0][1]
-    sent = dealt.where(F.col("_k").isin(*to)).select(*docs.columns, F.create_map(*[F.lit(x) for kv in to.items() for x in kv])[F.col("_k")].alias("_b"), "_k", F.when(F.col("_k") == wrap, 2).otherwise(1).alias("_g"))
+    # the head of each range is also sent to the range with rows before it; of equal rows, one
+    used = list(heads)
+    before = F.array(*[F.lit(used[used.index(b) - 1] if b in heads else None).cast("int") for b in range(used[-1] + 1)])
+    first = listed([heads.get(b, heads[used[0]]) for b in range(used[-1] + 1)])
+    sent = dealt.where(F.col("_k") == F.get(first, F.col("_b"))).dropDuplicates(["_k"])
+    sent = sent.withColumn("_g", F.when(F.col("_b") == used[0], 2).otherwise(1)).withColumn("_b", F.get(before, F.col("_b")))
     rows = dealt.withColumn("_g", F.lit(0)).unionByName(sent)
     w = Window.partitionBy("_b").orderBy("_g", "_k", *[c for c in carried if c != order])
     return rows.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried]).where("_g = 0").drop("_b", "_k", "_g")
@@ -116,7 +126,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    near = with_next(fingerprints(docs), "doc_id", ["text", "sketch"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = with_next(fingerprints(docs), "doc_id", "text", ["text", "sketch"], partitions(spark))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))

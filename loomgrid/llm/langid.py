@@ -4,7 +4,7 @@ Every language gets a codeword. For each bit, a linear classifier over hashed ch
 edges) is fitted by logistic regression to predict that bit. A text's bit margins are decoded with the logistic loss, weighted
 by each bit's training accuracy, and the codeword with the least loss wins; ``ambiguous`` marks a small lead over the next.
 
-Fitting uses at most ``per_language`` labelled texts of each language (the least by crc32 of the id), whole; prediction runs
+Fitting uses at most ``per_language`` labelled texts of each language (the least by hash of id and text), whole; prediction runs
 in Arrow batches over whole texts and keeps nothing between rows.
 
 Defined results: null text and text without a letter give ``und`` with score 0; rows with null lang aren't learned from; with
@@ -95,12 +95,12 @@ class Model:
         return self.languages[best], float(min(1.0, p[best])), bool(p[best] < 0.6)
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 150) -> Model:
+def fit(x: np.ndarray, langs: list[str], steps: int = 150) -> Model:
+    """Model of rows of ``features`` and their languages."""
     languages = sorted(set(langs))
     code = codewords(len(languages)) if len(languages) > 1 else np.zeros((len(languages), 0), dtype=np.int8)
     if len(languages) < 2:
         return Model(languages, code, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-    x = np.stack([features(t) for t in texts])
     row = np.array([languages.index(lang) for lang in langs])
     y = code[row].astype(np.float32)
     each = 1.0 / np.bincount(row, minlength=len(languages))[row]  # languages weigh alike
@@ -117,16 +117,36 @@ def fit(texts: list[str], langs: list[str], steps: int = 150) -> Model:
     return Model(languages, code, w, b, np.maximum(right - 0.5, 0.01) * 2)
 
 
-def fit_on(docs: DataFrame, per_language: int = 600, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Model of the labelled rows of ``docs``; at most ``per_language`` of each language reach the driver."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(lang).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.crc32(F.col("_id").cast("string")), "_id")
-    ids = labelled.distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_id", "_lang")
-    pick = {(r[0], r[1]) for r in ids.collect()}  # bounded by languages x per_language
-    few = docs.where(F.col(id).isin(*{i for i, _ in pick})) if len(pick) < 20_000 else docs.join(F.broadcast(ids.select(F.col("_id").alias(id)).distinct()), id, "left_semi")
-    rows = sorted({(r[0], r[1], r[2]) for r in few.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(id, text, lang).collect()}, key=lambda r: (r[0] is None, r[0], r[2], r[1]))
-    rows = [r for r in rows if any(map(str.isalpha, r[1]))]
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
+    """The rows of each ``_lang`` whose ``_at`` (a hash) is least, ``per_language`` of them and ties of the last 1/65536 of hashes.
+
+    Counts by language and hash range are summed before the shuffle, so no task sees the rows of a language."""
+    slot = F.shiftrightunsigned(F.col("_at"), 16)
+    counts = labelled.groupBy("_lang", slot.alias("_slot")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_lang").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("_before", before).where(F.col("_before") < per_language).groupBy("_lang").agg(F.max("_slot").alias("_last"))
+    return labelled.join(last, "_lang").where(slot <= F.col("_last")).drop("_last")
+
+
+def fit_on(docs: DataFrame, per_language: int = 600, most: int = 6000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Model of the labelled rows of ``docs``: at most ``per_language`` of each language (the least by hash of id and text) and about ``most`` in
+    all, of which only the n-gram counts reach the driver, ``BUCKETS`` numbers a row."""
+    at = F.crc32(F.concat_ws(" ", F.col(id).cast("string"), F.crc32(F.col(text).cast("binary")).cast("string")))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), at.alias("_at"), F.col(text).alias("_text"))
+    languages = labelled.agg(F.countDistinct("_lang")).first()[0]
+    if not languages:
+        return fit(np.zeros((0, BUCKETS), np.float32), [])
+    quota = max(1, min(per_language, most // languages))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(g, a, features(t).tobytes()) for g, a, t in ((*gat, x.as_py()) for *gat, x in zip(batch.column("_lang").to_pylist(), batch.column("_at").to_pylist(), batch.column("_text"), strict=True)) if any(map(str.isalpha, t))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["_lang", "_at", "x"])
+
+    few = sampled(labelled, quota).select("_lang", "_at", "_text").mapInArrow(run, "_lang string, _at long, x binary")
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_at", "x"))  # the quota and ties
+    rows = few.withColumn("_n", nth).where(F.col("_n") <= quota).orderBy("_lang", "_at", "x").collect()
+    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, BUCKETS), np.float32), [r["_lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,15 +1,18 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Documents queue by source. Every window (sequence) of ``width`` tokens grants each queue its target share; what rounding
-withholds is a deficit that the next grants make up. Grants are cumulative and exact: queue s has been granted c_s(k)
-tokens before window k, where sum_s c_s(k) = k * width and c_s(k) stays within log2(queues) + 1 tokens of its share. Since c_s(k)
-is arithmetic, each partition cuts its own documents knowing only how many tokens of each queue lie before it: deficits carry
-across windows and partitions without any task seeing another's rows. Without targets the shares are the corpus's own,
-so that all queues end together; with targets, shares hold until a queue is empty and its part then falls to the others.
-Only the last sequence can be short.
+Documents queue by source, whole where they have at most ``QUANTUM`` tokens, longer ones as runs of ``QUANTUM`` tokens. The queue
+that is furthest behind its share (largest deficit) is served next: a unit that starts at place b of a queue of weight w is due at b / w, and
+units are put in a row by due time. So after any window every queue is within one unit of its target share, deficits carry across
+windows and partitions, and the row is cut into windows (sequences) of ``width`` tokens, which are all full but the last.
+Due times follow from the tokens of each queue before a partition, so tasks cut their own part of the row without seeing
+another's: the row is dealt into spans of due time, whose token counts give each span's place.
+
+Weights: ``targets`` names them by source; sources without one share what is left after the last named queue ends. Else a
+queue weighs its tokens to the ``power``: 1 keeps the corpus's own shares, so that all queues end together, less raises small sources. A queue that
+ends leaves its part to the others in proportion. Queues are as many as there are sources.
 
 Defined results: null text is empty (a document of the end id alone); null source is a queue; rows that share a doc_id are
-documents of their own; an empty table gives no pieces. Beyond ``max_queues`` sources, sources share queues by hash.
+documents of their own; a null doc_id stays null; an empty table gives no pieces; negative and zero targets count as none.
 """
 
 from __future__ import annotations
@@ -20,16 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import partitions, table, written
 from .tokens import tokens
 
-WIDTH = 4096
-#: Offsets (partition x queue rows) that are sent to every executor; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 500_000
-_TOKEN_SCHEMA = "doc_id long, queue string, part int, begin long, n long, ids binary"
+WIDTH, QUANTUM = 4096, 2048
+_TOKEN_SCHEMA = "doc_id long, queue string, part int, begin long, start long, n long, doc_tokens long, ids binary"
 _PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -39,147 +40,114 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Grants:
-    """c_s(k) of the module's text, by halving the queues: each half gets the floor or the rest of its parent's tokens."""
-
-    def __init__(self, totals: list[int], width: int = WIDTH, weights: list[float] | None = None):
-        self.width, self.total = width, sum(totals)
-        self.kind = object if self.total >= 1 << 31 else np.int64  # products stay exact
-        self.phases, at = [], 0
-        left = list(totals)
-        while any(left):
-            live = [s for s, n in enumerate(left) if n and (weights is None or weights[s] > 0)] or [s for s, n in enumerate(left) if n]
-            share = {s: left[s] if weights is None or weights[s] <= 0 else weights[s] for s in live}
-            rounds = min(left[s] / share[s] for s in live)
-            take = [min(left[s], max(1, round(rounds * share[s]))) if s in share else 0 for s in range(len(left))]
-            sums = [0]
-            for n in take:
-                sums.append(sums[-1] + n)
-            self.phases.append((at, sums))
-            at += sums[-1]
-            left = [a - b for a, b in zip(left, take, strict=True)]
-        self.windows = -(-self.total // width)
-
-    def granted(self, s: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens granted to queue s, and to the queues before it, before each window of k."""
-        x = np.minimum(np.asarray(k).astype(self.kind) * self.width, self.total)
-        own, before = x * 0, x * 0
-        for at, sums in self.phases:
-            y, lo, hi = np.minimum(np.maximum(x - at, 0), sums[-1]), 0, len(sums) - 1
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                whole = sums[hi] - sums[lo]
-                first = y * (sums[mid] - sums[lo]) // whole if whole else y * 0
-                if s < mid:
-                    y, hi = first, mid
-                else:
-                    before, y, lo = before + first, y - first, mid
-            own = own + y
-        return own, before
-
-    def window_of(self, s: int, place: np.ndarray) -> np.ndarray:
-        """The window that gets the token at each place of queue s."""
-        place = np.asarray(place).astype(self.kind)
-        lo, hi = np.zeros(len(place), dtype=np.int64), np.full(len(place), max(self.windows - 1, 0), dtype=np.int64)
-        while len(lo) and (lo < hi).any():
-            mid = (lo + hi) // 2
-            after = self.granted(s, mid + 1)[0] > place
-            lo, hi = np.where(after, lo, mid + 1), np.where(after, mid, hi)
-        return lo
-
-    def cut(self, s: int, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document index, start, length, window, offset) of the pieces of documents at places ``begin`` of queue s."""
-        first, last = self.window_of(s, begin), self.window_of(s, begin + n - 1)
-        sparse = last - first >= n  # fewer tokens than windows: go by tokens
-        count = np.where(sparse, n, last - first + 1)
-        doc = np.repeat(np.arange(len(n)), count)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        k = first[doc] + step
-        if sparse.any():
-            by_token = sparse[doc]
-            k[by_token] = self.window_of(s, (begin[doc] + step)[by_token])
-            once = np.r_[True, (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]
-            doc, k = doc[once], k[once]
-        (a, p), (b, q) = self.granted(s, k), self.granted(s, k + 1)
-        a, b, room = a.astype(np.int64), b.astype(np.int64), (q - p).astype(np.int64)
-        lo, hi = np.maximum(a, begin[doc]), np.minimum(b, (begin + n)[doc])
-        ok = hi > lo
-        return doc[ok], (lo - begin[doc])[ok], (hi - lo)[ok], k[ok], (room + lo - a)[ok]
-
-
-def tokenize(docs: DataFrame, path: str, end_id: int = 2, max_queues: int = 4096) -> DataFrame:
-    """One row a document: its queue, its partition, its place in that partition's share of the queue, and its ids."""
+def tokenize(docs: DataFrame, path: str, end_id: int = 2, quantum: int = QUANTUM) -> DataFrame:
+    """One row a unit: its queue, its partition, its place in that partition's share of the queue, its start in the document, and its ids."""
     queue = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("n:"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, begun = tokens(path), TaskContext.get().partitionId(), {}
-        wide = tok.whole.get_vocab_size() > 1 << 16
+        kind = "<u4" if tok.whole.get_vocab_size() > 1 << 16 else "<u2"
         for batch in batches:
-            ids_of, size, at = batch.column("doc_id"), batch.num_rows, 0
+            ids_of, size, at = batch.column("doc_id").to_pylist(), batch.num_rows, 0
             texts, queues = batch.column("text"), batch.column("queue").to_pylist()
             while at < size:
-                some, chars, start = [], 0, at
+                some, chars, first = [], 0, at
                 while at < size and chars < 2_000_000 and len(some) < 1024:
                     some.append(texts[at].as_py() or "")
                     chars += len(some[-1])
                     at += 1
-                rows = [np.append(x, np.uint32(end_id)) for x in tok.encode(some)]
-                places = []
-                for q, x in zip(queues[start:at], rows, strict=True):
-                    places.append(begun.get(q, 0))
-                    begun[q] = places[-1] + len(x)
-                blobs = [x.astype("<u4" if wide else "<u2").tobytes() for x in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [ids_of.slice(start, at - start), pa.array(queues[start:at], pa.string()), pa.array([part] * len(rows), pa.int32()), pa.array(places, pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["doc_id", "queue", "part", "begin", "n", "ids"],
-                )
-
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue"))
-    if docs.select("source").distinct().limit(max_queues + 1).count() > max_queues:
-        few = few.withColumn("queue", F.concat(F.lit("h:"), F.pmod(F.xxhash64("queue"), F.lit(max_queues))))
-    return few.mapInArrow(run, _TOKEN_SCHEMA)
-
-
-def pack(docs: DataFrame, path: str | None = None, targets: dict[str | None, float] | None = None, width: int = WIDTH, end_id: int = 2) -> DataFrame:
-    """The pieces of ``docs`` (doc_id, text, source): see the module's text. ``targets``: weight of each source; others share what is left at the end."""
+                out: list[list] = [[] for _ in range(8)]
+                for i, q, x in zip(ids_of[first:at], queues[first:at], tok.encode(some), strict=True):
+                    x = np.append(x, np.uint32(end_id))
+                    for start in range(0, len(x), quantum):
+                        run_ = x[start : start + quantum]
+                        for col, v in zip(out, (i, q, part, begun.get(q, 0), start, len(run_), len(x), run_.astype(kind).tobytes()), strict=True):
+                            col.append(v)
+                        begun[q] = begun.get(q, 0) + len(run_)
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _TOKEN_SCHEMA.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue")).mapInArrow(run, _TOKEN_SCHEMA)
+
+
+def shares(totals: DataFrame, targets: dict[str | None, float] | None, power: float) -> DataFrame:
+    """(queue, weight, after): a unit at place b of the queue is due at after + b / weight."""
+    n = F.col("tokens").cast("double")
+    if targets is None:
+        return totals.select("queue", (n if power == 1 else F.pow(n, F.lit(power))).alias("weight"), F.lit(0.0).alias("after"))
+    spark = totals.sparkSession
+    named = spark.createDataFrame([("n:" if q is None else f"s:{q}", float(w)) for q, w in targets.items() if w > 0], "queue string, target double")
+    both = totals.join(named, "queue", "left")
+    last = both.where("target IS NOT NULL").agg(F.max(n / F.col("target"))).first()[0] or 0.0
+    return both.select("queue", F.coalesce("target", n).alias("weight"), F.when(F.col("target").isNull(), last).otherwise(0.0).alias("after"))
+
+
+def _cuts(due: DataFrame, most: int) -> list[float]:
+    """At most ``most`` due times that split the units into spans of about as many; they move work, not results."""
+    found = due.agg(F.percentile_approx("due", [i / most for i in range(1, most)], 20 * most)).first()[0] if most > 1 else None
+    return sorted(set(found or []))
+
+
+def pack(docs: DataFrame, path: str | None = None, targets: dict[str | None, float] | None = None, width: int = WIDTH, end_id: int = 2, power: float = 1.0, quantum: int = QUANTUM) -> DataFrame:
+    """The pieces of ``docs`` (doc_id, text, source): see the module's text."""
     spark = docs.sparkSession
-    path = path or public_tokenizer()
-    rows = written(spark, tokenize(docs, path, end_id), "tokens")
-    with_parts = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    parts = written(spark, with_parts, "token-counts")
-    totals = {r[0]: r[1] for r in parts.groupBy("queue").agg(F.sum("n")).collect()}  # max_queues rows at most
-    names = sorted(totals)
-    weights = None if targets is None else [targets.get(q[2:] if q[0] == "s" else None, 0.0) for q in names]
-    grants, index = Grants([totals[q] for q in names], width, weights), {q: i for i, q in enumerate(names)}
+    rows = written(spark, tokenize(docs, path or public_tokenizer(), end_id, quantum), "tokens")
+    parts = written(spark, rows.groupBy("queue", "part").agg(F.sum("n").alias("n")), "token-counts")
+    of = shares(parts.groupBy("queue").agg(F.sum("n").alias("tokens")), targets, power)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = rows.join(F.broadcast(offsets) if parts.count() <= BROADCAST_ROWS else offsets, ["queue", "part"])
+    bases = written(spark, parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(of, "queue"), "token-bases")
+    place: Column = F.col("base") + F.col("begin")
+    placed = rows.join(bases, ["queue", "part"]).withColumn("due", F.col("after") + place / F.col("weight")).withColumn("place", place).drop("begin", "base", "weight", "after", "part")
+    n = partitions(spark)
+    cuts = np.array(_cuts(placed.select("due"), 4 * n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("span", pa.array(np.searchsorted(cuts, batch.column("due").to_numpy(), side="right").astype(np.int32)))
+
+    narrow = placed.select("due", "n")
+    sums = narrow.mapInArrow(deal, "due double, n long, span int").groupBy("span").agg(F.sum("n").alias("n"))
+    starts, at = {}, 0
+    for span, size in sorted(map(tuple, sums.collect())):  # 4 x partitions rows at most
+        starts[span], at = at, at + size
+    wide = placed.mapInArrow(deal, placed.schema.simpleString()[7:-1].replace(":", " ") + ", span int")
+    row = wide.repartition(n, "span").sortWithinPartitions("span", "due", "queue", "place")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, at = -1, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, doc_ids = batch.column("n").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False)
-            begin = batch.column("begin").to_numpy() + batch.column("base").to_numpy()
-            queue = np.array([index[q] for q in batch.column("queue").to_pylist()])
-            ids = batch.column("ids")
-            for s in np.unique(queue):
-                at = np.flatnonzero(queue == s)
-                doc, start, length, window, offset = grants.cut(int(s), begin[at], n[at])
-                sums, held, raw = np.empty(len(doc), dtype=np.int64), -1, memoryview(b"")
-                for i, (d, a, z) in enumerate(zip(at[doc].tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)):
-                    if d != held:
-                        held, blob = d, ids[d].as_buffer()
-                        raw = memoryview(np.frombuffer(blob, dtype="<u4" if len(blob) == 4 * n[d] else "<u2").astype("<u4").tobytes())
-                    sums[i] = zlib.crc32(raw[a:z])
-                whose = pa.array(doc_ids[at][doc], pa.int64(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([whose, *[pa.array(np.asarray(x, dtype=np.int64)) for x in (start, length, sums, n[at][doc], window, offset)]], names=[c.split()[0] for c in _PIECE_SCHEMA.split(", ")])
-
-    return placed.select("doc_id", "queue", "begin", "base", "n", "ids").mapInArrow(run, _PIECE_SCHEMA)
+            spans, size = batch.column("span").to_numpy(), batch.column("n").to_numpy()
+            total = np.r_[0, np.cumsum(size)]
+            fresh = np.flatnonzero(np.r_[spans[0] != span, spans[1:] != spans[:-1]])
+            base = np.full(len(size), at, dtype=np.int64)
+            for i in fresh.tolist():
+                base[i:] = starts[int(spans[i])] - total[i]
+            begin = base + total[:-1]
+            span, at = spans[-1], int(begin[-1] + size[-1])
+            first, last = begin // width, (begin + size - 1) // width
+            count = last - first + 1
+            unit = np.repeat(np.arange(len(size)), count)
+            window = first[unit] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            lo, hi = np.maximum(begin[unit], window * width), np.minimum((begin + size)[unit], (window + 1) * width)
+            ids, sums = batch.column("ids"), np.empty(len(unit), dtype=np.int64)
+            raw, held = b"", -1
+            for k, (u, a, z) in enumerate(zip(unit.tolist(), (4 * (lo - begin[unit])).tolist(), (4 * (hi - begin[unit])).tolist(), strict=True)):
+                if u != held:
+                    blob, held = ids[u].as_buffer(), u
+                    raw = np.frombuffer(blob, dtype="<u4" if len(blob) == 4 * size[u] else "<u2").astype("<u4").tobytes()
+                sums[k] = zlib.crc32(raw[a:z])
+            start = batch.column("start").to_numpy()[unit] + lo - begin[unit]
+            fixed = (start, hi - lo, sums, batch.column("doc_tokens").to_numpy()[unit], window, lo - window * width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(unit)), *[pa.array(x.astype(np.int64)) for x in fixed]], names=[c.split()[0] for c in _PIECE_SCHEMA.split(", ")])
+
+    return row.select("doc_id", "start", "n", "doc_tokens", "ids", "span").mapInArrow(cut, _PIECE_SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """All documents, small sources raised: a source weighs its tokens to the power 0.7."""
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), power=0.7)
 
 
 QUERIES = {"op5_packing": op5_packing}

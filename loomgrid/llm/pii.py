@@ -4,7 +4,8 @@ Base kinds (email, ip, card, phone) follow fixed patterns and checks and are alw
 of their own, gain or lose by words within 40 code points before and after the span, and are kept from ``THRESHOLD`` on:
 ``iban`` needs mod-97 = 1, ``secret`` is a key-shaped token, ``ssn`` needs a context word to pass.
 
-The patterns use possessive repetition and look-behind, so a match costs time linear in the text and no recursion; they
+Places are running sums of gap and match lengths, summed in runs, and texts are cut in runs of ``RUN`` code points, so work stays close to
+the text's length however many spans it has. The patterns use possessive repetition and look-behind, so a match costs time linear in the text and no recursion; they
 match what the greedy forms match, since no repeated class contains the character that follows it.
 
 Defined results: null text is empty and has no spans; spans of different kinds may overlap; repeated rows are each
@@ -19,10 +20,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hex_sha256, let, table
+from .common import hex_sha256, let, running, table
 
 THRESHOLD = 0.5
 NEAR = 40
+#: Code points that are walked over to reach a place in a text.
+RUN = 1024
 
 
 def digits(m: Column) -> Column:
@@ -83,29 +86,38 @@ def _proposals(text: Column, kind: Kind) -> Column:
     rank = next((i for i, k in enumerate(KINDS) if k.name == kind.name), len(KINDS))
 
     def place(m: Column) -> Column:
-        gaps = F.split(text, kind.pattern, -1)
-        steps = lambda g: F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x))
-        # ends are running sums of gap and match lengths
-        ends = lambda s: F.aggregate(s, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
-        spans = lambda e: F.zip_with(m, e, lambda x, z: F.struct((z - F.length(x)).alias("at"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), z.alias("stop"), x.alias("match")))
-        placed = let(gaps, lambda g: let(let(steps(g), ends), spans))
+        steps = F.zip_with(F.split(text, kind.pattern, -1), m, lambda g, x: F.length(g) + F.length(x))  # one gap more than matches: its sum is null
+        spans = lambda e: F.zip_with(m, F.slice(e, F.lit(1), F.size(m)), lambda x, z: F.struct((z - F.length(x)).alias("at"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), z.alias("stop"), x.alias("match")))
+        placed = let(running(steps), spans)
         return F.filter(placed, lambda p: kind.valid(p["match"])) if kind.valid else placed
 
     return F.when(text.rlike(kind.cheap), let(found, lambda m: F.when(F.size(m) > 0, place(m)).otherwise(none))).otherwise(none)
 
 
+def _runs(text: Column) -> Column:
+    """The text in runs of ``RUN`` code points, so that a place is found without a walk from the start."""
+    return F.when(F.length(text) <= RUN, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0)))
+
+
+def _part(runs: Column, at: Column, stop: Column) -> Column:
+    """Code points at .. stop (exclusive) of a text given by its runs."""
+    first, last = F.floor(at / RUN).cast("int"), F.floor((stop - 1) / RUN).cast("int")
+    whole = F.array_join(F.slice(runs, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.when(stop <= at, "").otherwise(F.substr(whole, at - first * RUN + 1, stop - at))
+
+
 def _scored(text: Column, spans: Column, kind: Kind) -> Column:
     """The spans whose score, after the words near them, reaches the threshold."""
     if kind.base:
         return spans
 
-    def score(p: Column) -> Column:
-        near = F.lower(F.concat(F.substr(text, F.greatest(p["at"] - NEAR + 1, F.lit(1)), F.least(p["at"], F.lit(NEAR))), F.lit(" "), F.substr(text, p["stop"] + 1, F.lit(NEAR))))
+    def score(runs: Column, p: Column) -> Column:
+        near = F.lower(F.concat(_part(runs, F.greatest(p["at"] - NEAR, F.lit(0)), p["at"]), F.lit(" "), _part(runs, p["stop"], F.least(p["stop"] + NEAR, F.length(text)))))
         up = F.when(near.rlike("|".join(kind.raises)), 0.3).otherwise(0.0) if kind.raises else F.lit(0.0)
         down = F.when(near.rlike("|".join(kind.lowers)), 0.3).otherwise(0.0) if kind.lowers else F.lit(0.0)
         return F.lit(kind.score) + up - down
 
-    return F.filter(spans, lambda p: score(p) >= THRESHOLD)
+    return let(spans, lambda s: F.when(F.size(s) == 0, s).otherwise(let(_runs(text), lambda r: F.filter(s, lambda p: score(r, p) >= THRESHOLD))))
 
 
 def find_spans(df: DataFrame, text: str = "text", kinds: Sequence[Kind] = KINDS) -> DataFrame:
@@ -118,14 +130,16 @@ def find_spans(df: DataFrame, text: str = "text", kinds: Sequence[Kind] = KINDS)
 def redact(df: DataFrame, text: str = "text", kinds: Sequence[Kind] = KINDS) -> DataFrame:
     """``df`` with every span replaced by ``[KIND]``; overlapping spans merge under the first one's kind. Texts without spans stay as they are."""
     columns = df.columns
-    pieces = lambda t, s: F.aggregate(
-        s,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, p: F.when(p["at"] < a["at"], F.struct(F.greatest(a["at"], p["stop"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(p["stop"].alias("at"), F.concat(a["out"], F.array(F.substr(t, a["at"] + 1, p["at"] - a["at"]), F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]")))).alias("out"))
-        ),
-        lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(t, a["at"] + 1))), ""),
-    )
+
+    def pieces(t: Column, s: Column) -> Column:
+        # a span that starts before an earlier one has stopped has no mark of its own
+        def out(stops: Column, runs: Column) -> Column:
+            mark = lambda p, i: let(F.when(i == 0, 0).otherwise(F.get(stops, i - 1)), lambda z: F.when(p["at"] < z, "").otherwise(F.concat(_part(runs, z, p["at"]), F.lit("["), F.upper(p["kind"]), F.lit("]"))))
+            return F.concat(F.array_join(F.transform(s, mark), ""), _part(runs, F.get(stops, F.size(stops) - 1), F.length(t)))
+
+        reached = running(F.transform(s, lambda p: p["stop"]), lambda a, x: F.greatest(a, x))
+        return let(F.struct(reached.alias("e"), _runs(t).alias("r")), lambda x: out(x["e"], x["r"]))
+
     found = find_spans(df.withColumnRenamed("spans", "_spans") if "spans" in columns else df, text, kinds)
     back = found.withColumn(text, F.when(F.size("spans") > 0, pieces(F.col(text), F.col("spans"))).otherwise(F.col(text))).drop("spans")
     return back.select(*[F.col("_spans").alias(c) if c == "spans" else F.col(c) for c in columns])
