@@ -229,7 +229,8 @@ def shingled(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
 
 def blocks(entries: DataFrame, n: int) -> DataFrame:
     """Of each entry shared by several classes: kind 0 pairs with the entry's centre, kind 1 members (of three classes or more)."""
-    def run(_: int, e: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def run(_: int, parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        e = next(parts)
         sig, cls = e["sig"], e["entry_cls"]
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]

@@ -6,6 +6,7 @@ the rows of each bucket together, sorted by Spark (which spills), and sees one b
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,27 +37,33 @@ def joined(rows: list[tuple], kinds: dict[str, str]) -> dict[str, np.ndarray]:
     return {c: np.frombuffer(b"".join(r[i] for r in rows), dtype=kind) for i, (c, kind) in enumerate(kinds.items())}
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """(bucket, columns) for each bucket of rows that come sorted by bucket."""
-    at, held = None, []
+def rows_of(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Iterator[tuple]:
     for batch in batches:
         cols = [batch.column(c) for c in kinds]
         for i, key in enumerate(batch.column("bucket").to_pylist()):
-            if key != at and held:
-                yield at, joined(held, kinds)
-                held = []
-            at = key
-            held.append(tuple(c[i].as_py() for c in cols))
+            yield key, *(c[i].as_py() for c in cols)
+
+
+def in_parts(rows: Iterator[tuple], kinds: dict[str, str], part: int | None) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of (bucket, ...) rows, about ``part`` entries at a time (None: all at once)."""
+    held, size = [], 0
+    wide = np.dtype(next(iter(kinds.values()))).itemsize
+    for row in rows:
+        held.append(row[1:])
+        size += len(row[1]) // wide
+        if part is not None and size >= part:
+            yield joined(held, kinds)
+            held, size = [], 0
     if held:
-        yield at, joined(held, kinds)
+        yield joined(held, kinds)
 
 
-def exchange(df: DataFrame, n: int, kinds: dict[str, str], run: Callable[[int, dict[str, np.ndarray]], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
-    """``run`` on each bucket of ``df``, dealt by bucket over n partitions."""
+def exchange(df: DataFrame, n: int, kinds: dict[str, str], run: Callable[[int, Iterator[dict[str, np.ndarray]]], Iterator[pa.RecordBatch]], out: str, part: int | None = None) -> DataFrame:
+    """``run`` on each bucket of ``df``, dealt by bucket over n partitions; it gets a bucket's entries in parts, and must take them all."""
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, columns in by_bucket(batches, kinds):
-            for batch in run(bucket, columns):
+        for bucket, rows in itertools.groupby(rows_of(batches, kinds), key=lambda r: r[0]):
+            for batch in run(bucket, in_parts(rows, kinds, part)):
                 if batch is not None and batch.num_rows:
                     yield batch
 
