@@ -1,23 +1,26 @@
 """Exact Jaccard self-join of word shingle sets by universe partition, and its connected components.
 
-Sets are banded by size. In a band, shingles are hashed to segments; two sets that link differ in at most
-(a + b)(1 - t) / (1 + t) shingles, H for a band's largest, so of m segments at least m - H are equal (pigeonhole). Two indexes
-follow, and each band takes the one that costs less on a bounded sample (entries plus pairs that collide):
+Sets are banded by size. In a band, shingles are hashed to m segments; two sets that link differ in at most
+(a + b)(1 - t) / (1 + t) shingles, H for a band's largest. Every band has an allocation of that error budget to its segments:
 
-* subsets: m = 2 (H + 1) segments, of which each set indexes only its H' + 1 first in a global order (H' for its own size): segments with
-  rare and many shingles first. Of two sets' equal segments the first in the order is among both sets' choices.
-* one-deletion neighbourhoods: m = ceil((H + 1) / 2) segments, each indexed whole and with each one shingle left out: one of them differs
-  in at most one shingle.
+* one-deletion neighbourhoods, for k segments that the band's plan names: each is indexed whole and with each one shingle left out. If
+  none of them matches in two sets, the sets differ by 2 or more in each, so by H - 2k at most in all the others;
+* whole segments: of the others, each set indexes only its H' + 1 - 2k first in a global order (H' for its own size): segments with
+  rare and many shingles first. Of two sets' equal segments the first in the order is among both sets' choices;
+* the rest are skipped.
 
-Sets that are the same form one class and enter once. Within an index entry's classes, first each is paired with one centre that varies with the
+m and the segments with neighbourhoods are chosen for each band by their cost on a bounded sample: entries, and pairs that collide, scaled to
+the table's size. The segments whose neighbourhoods cost least are tried first. This moves cost, not results.
+
+Sets that are the same (by 128 bits) form one class and enter once. Within an index entry's classes, first each is paired with one centre that varies with the
 entry; those pairs are verified on the sets and joined up. Then all pairs of an entry that are still in different components
-are tried, unless shingle histograms (a lower bound of the difference) rule them out, and verified. So every pair that links is verified
-or already joined, and no group of copies is expanded into its pairs. Which shingles are rare is estimated on the
-sample; that moves cost, not results.
+are tried, unless shingle histograms (a lower bound of the difference) rule them out, and verified. Large entries are compared in blocks:
+components of more than a block's classes have blocks of their own, which are never compared among each other. So every pair that links is verified
+or already joined, and no group of copies is expanded into its pairs.
 
 Defined results: null or wordless text has an empty set, which links with nothing; texts under five words are one shingle; shingles are
-compared as 64-bit hashes; rows that share a doc_id are one node (linked if either row is); null ids are no nodes and come
-back with a null component.
+compared as 64-bit hashes; texts of any length are cut in slices; rows that share a doc_id are one node (linked if either row is); null ids are no nodes and come
+back with a null component; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import partitions, sized, table, written
+from .common import drop, partitions, sized, table, written
 from .components import connected_components
 from .packed import mixed
 
@@ -44,15 +47,37 @@ SAMPLE, FREQUENT = 3000, 100_000
 BINS = 256
 #: Classes of an index entry that are compared as one group; larger entries are split into blocks.
 BLOCK = 1024
-_ENTRY = {"sig": "<u8", "entry_cls": "<i8"}
+#: Entries of a bucket that are added at a time, and classes of a signature from which on they are passed on at once.
+PART, CROWD = 2_000_000, 20_000
+#: Bytes of a text that are cut into words at once.
+SLICE = 1 << 20
+#: What a pair that collides costs, in index entries.
+PAIR = 0.25
+_ENTRY = {"sig": "<u4", "more": "<u2", "c1": "<u8", "c2": "<u8"}
+_SEPARATORS = b" \t\n\v\f\r"
+
+
+def _word_hashes(raw: bytes) -> Iterator[np.ndarray]:
+    at = 0
+    while at < len(raw):
+        stop = at + SLICE
+        if stop < len(raw):  # cut after a separator
+            last = max(raw.rfind(c, at, stop) for c in (_SEPARATORS[i : i + 1] for i in range(6)))
+            if last < at:
+                nexts = [i for i in (raw.find(_SEPARATORS[k : k + 1], stop) for k in range(6)) if i >= 0]
+                last = min(nexts, default=len(raw) - 1)
+            stop = last + 1
+        found = raw[at:stop].lower().split()
+        yield np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+        at = stop
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    parts = list(_word_hashes((text or "").encode("utf-8", "surrogatepass")))
+    w = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
     n = max(len(w) - WORDS + 1, 1)
     h = np.full(n, np.uint64(min(len(w), WORDS)))
     for k in range(min(len(w), WORDS)):
@@ -60,9 +85,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def class_of(s: np.ndarray) -> int:
-    """64 bits that stand for a set (0: the empty one)."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes()) | 1).view(np.int64))) if len(s) else 0
+def class_of(s: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set (none: the empty one)."""
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
+def _binary(c1: np.ndarray, c2: np.ndarray) -> pa.Array:
+    """Classes as 16-byte values, which sort as (c1, c2)."""
+    data = np.stack([c1, c2], 1).astype(">u8")
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * 16).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def histogram(s: np.ndarray) -> bytes:
@@ -81,9 +112,9 @@ def most_apart(a, b):
 
 @dataclass
 class Plan:
-    """Band limits, which bands index one-deletion neighbourhoods, and the frequent shingles with their counts."""
+    """Each band's allocation (how many segments, and those with one-deletion neighbourhoods), and the frequent shingles with their counts."""
 
-    deletions: frozenset[int] = frozenset()
+    bands: dict[int, tuple[int, frozenset[int]]] = field(default_factory=dict)
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     df: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
@@ -101,6 +132,10 @@ class Plan:
             band, top = band + 1, top * 3 // 2
         return band
 
+    def allocation(self, band: int) -> tuple[int, frozenset[int]]:
+        far = most_apart(self.top(band), self.top(band))
+        return self.bands.get(band, (2 * (far + 1), frozenset()))
+
     def entries(self, s: np.ndarray) -> np.ndarray:
         """Index entries of a set: in its own band, where the larger set of a pair has its size, and in the next if a larger partner can be there."""
         n, out = len(s), []
@@ -108,16 +143,15 @@ class Plan:
             return s
         widest = n * 100 // SHARE
         for band in range(self.band(n), self.band(widest) + 1):
-            out.append(self._in_band(s, band, most_apart(n, min(self.top(band), widest))))
-        return np.unique(np.concatenate(out))
-
-    def _in_band(self, s: np.ndarray, band: int, apart: int) -> np.ndarray:
-        far = most_apart(self.top(band), self.top(band))
-        if not far:
-            return s[:0]  # only equal sets can link
+            apart = most_apart(n, min(self.top(band), widest))
+            if most_apart(self.top(band), self.top(band)):  # else only equal sets can link
+                out += self.in_band(s, band, apart)
+        return np.unique(np.concatenate(out)) if out else s[:0]
+
+    def in_band(self, s: np.ndarray, band: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the whole segments that are picked, and of the neighbourhoods."""
+        m, deleted = self.allocation(band)
         salt = np.uint64((band + 1) * 0xA24BAED4963EE407 % (1 << 64))
-        deleted = band in self.deletions
-        m = -(-(far + 1) // 2) if deleted else 2 * (far + 1)
         x = mixed(s ^ salt)
         seg = ((x >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
@@ -127,10 +161,15 @@ class Plan:
         ends = np.cumsum(size)
         sums = total[ends] - total[ends - size]
         tag = mixed(np.arange(m, dtype=np.uint64) * np.uint64(2) + salt)
+        near = s[:0]
+        rest = np.ones(m, dtype=bool)
         if deleted:
-            return np.r_[mixed(sums + tag), mixed(sums[seg] - x + tag[seg])]
-        keep = apart + 1
-        if keep < m:
+            rest[list(deleted)] = False
+            of = ~rest[seg]
+            near = np.r_[mixed((sums + tag)[~rest]), mixed(sums[seg[of]] - x[of] + tag[seg[of]])]
+        keep = max(apart + 1 - 2 * len(deleted), 0)
+        pick = np.flatnonzero(rest)
+        if keep < len(pick):
             rare = np.zeros(m, np.int64)
             if len(self.hot):
                 at = np.searchsorted(self.hot, s[order]).clip(0, len(self.hot) - 1)
@@ -138,34 +177,52 @@ class Plan:
                 full = np.flatnonzero(size)
                 rare[full] = np.minimum.reduceat(df, (ends - size)[full])
             rare[size == 0] = 1 << 30
-            pick = np.lexsort((mixed(sums + tag), -size, rare))[:keep]
-            sums, tag = sums[pick], tag[pick]
-        return mixed(sums + tag)
+            pick = pick[np.lexsort((mixed(sums + tag)[pick], -size[pick], rare[pick]))[:keep]]
+        return mixed((sums + tag)[pick]), near
+
 
+def _cost(signatures: list[np.ndarray], scale: float) -> float:
+    if not signatures:
+        return 0.0
+    _, n = np.unique(np.concatenate(signatures), return_counts=True)
+    return float(n.sum() + PAIR * scale * (n * (n - 1.0)).sum())
 
-def plan_of(sets: list[np.ndarray]) -> Plan:
-    """Frequent shingles, and for each band the cheaper index, on sample sets."""
+
+def plan_of(sets: list[np.ndarray], rows: int = 0) -> Plan:
+    """Frequent shingles, and for each band the cheapest allocation, on sample sets of a table of ``rows`` rows."""
     distinct = list({s.tobytes(): s for s in sets if len(s)}.values())
     if not distinct:
         return Plan()
+    scale = max(rows / len(sets), 1.0)
     hot, df = np.unique(np.concatenate(distinct), return_counts=True)
     top = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
     top = top[df[top] > 1]
-    plan = Plan(frozenset(), hot[top], df[top].astype(np.int32))
+    plan = Plan({}, hot[top], df[top].astype(np.int32))
     by_band: dict[int, list[np.ndarray]] = {}
     for s in distinct:
         by_band.setdefault(plan.band(len(s)), []).append(s)
-    chosen = set()
     for band, some in by_band.items():
-        costs = []
-        for deletions in (frozenset(), frozenset([band])):
-            trial = Plan(deletions, plan.hot, plan.df)
-            e = np.concatenate([np.unique(trial._in_band(s, band, most_apart(len(s), plan.top(band)))) for s in some])
-            _, n = np.unique(e, return_counts=True)
-            costs.append(len(e) + int((n * (n - 1)).sum()))
-        if costs[1] < costs[0]:
-            chosen.add(band)
-    return Plan(frozenset(chosen), plan.hot, plan.df)
+        far = most_apart(plan.top(band), plan.top(band))
+        if not far:
+            continue
+        best = None
+        for m in sorted({-(-(far + 1) // 2), far + 1, 2 * (far + 1), 4 * (far + 1)}):
+            most = (far + 1) // 2 if m > -(-(far + 1) // 2) else m
+            # what the neighbourhood of each segment alone costs
+            single = []
+            for i in range(m) if m <= 64 else ():
+                trial = Plan({band: (m, frozenset([i]))}, plan.hot, plan.df)
+                single.append((_cost([trial.in_band(s, band, 0)[1] for s in some], scale), i))
+            order = [i for _, i in sorted(single)] or list(range(m))
+            for k in sorted({0, 1, 2, most // 2, most}):
+                if k > most or far + 1 - 2 * k > m - k:  # too few segments for the budget
+                    continue
+                trial = Plan({band: (m, frozenset(order[:k]))}, plan.hot, plan.df)
+                cost = _cost([np.unique(np.concatenate(trial.in_band(s, band, most_apart(len(s), plan.top(band))))) for s in some], scale)
+                if best is None or cost < best[0]:
+                    best = (cost, trial.bands[band])
+        plan.bands[band] = best[1]
+    return plan
 
 
 def sample_plan(docs: DataFrame) -> Plan:
@@ -178,27 +235,30 @@ def sample_plan(docs: DataFrame) -> Plan:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets if len(s) <= 5000], pa.binary())], names=["s"])
 
-    return plan_of([np.frombuffer(r[0], np.uint64) for r in few.select("text").mapInArrow(run, "s binary").collect()])
+    seen = few.select("text").mapInArrow(run, "s binary").limit(4 * SAMPLE).collect()
+    return plan_of([np.frombuffer(r[0], np.uint64) for r in seen], docs.count())
 
 
 def shingled(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
     """Rows of documents (doc_id, n, cls, hist) and, with a bucket, of packed index entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: set[bytes] = set()
 
         def entries(held: list, classes: list) -> pa.RecordBatch | None:
             if not held:
                 return None
             sig = np.concatenate(held)
-            cls = np.repeat(np.array(classes, dtype=np.int64), [len(x) for x in held])
-            return packed.split((sig % np.uint64(buckets)).astype(np.int32), {"sig": sig, "entry_cls": cls}, _ENTRY)
+            cls = np.frombuffer(b"".join(classes), ">u8").reshape(-1, 2).astype(np.uint64)
+            cls = np.repeat(cls, [len(x) for x in held], axis=0)
+            # 48 bits of a signature and its bucket: others that agree in both only cost
+            return packed.split((mixed(sig) % np.uint64(buckets)).astype(np.int32), {"sig": sig & np.uint64(0xFFFFFFFF), "more": sig >> np.uint64(48), "c1": cls[:, 0], "c2": cls[:, 1]}, _ENTRY)
 
         def both(docs: list | None, index: pa.RecordBatch | None) -> pa.RecordBatch:
             n = len(docs[0]) if docs else index.num_rows
             none = lambda kind: pa.nulls(n, kind)
-            own = [pa.array(x, k) for x, k in zip(docs, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)] if docs else [none(pa.int64())] * 3 + [none(pa.binary())]
-            rest = index.columns if index is not None else [none(pa.int32()), none(pa.binary()), none(pa.binary())]
+            own = [pa.array(x, k) for x, k in zip(docs, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if docs else [none(pa.int64())] * 2 + [none(pa.binary())] * 2
+            rest = index.columns if index is not None else [none(pa.int32()), *[none(pa.binary()) for _ in _ENTRY]]
             return pa.RecordBatch.from_arrays([*own, *rest], names=["doc_id", "n", "cls", "hist", "bucket", *_ENTRY])
 
         for batch in batches:
@@ -210,7 +270,7 @@ def shingled(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
                 for col, x in zip(rows, (i, len(s), cls, histogram(s) if len(s) else None), strict=True):
                     col.append(x)
                 if cls and i is not None and cls not in done:  # a task's further copies add nothing
-                    if len(done) < 1_000_000:
+                    if len(done) < 200_000:
                         done.add(cls)
                     held.append(plan.entries(s))
                     classes.append(cls)
@@ -224,40 +284,72 @@ def shingled(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
             if (e := entries(held, classes)) is not None and e.num_rows:
                 yield both(None, e)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, cls long, hist binary, bucket int, sig binary, entry_cls binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, packed.schema(_ENTRY, "doc_id long, n long, cls binary, hist binary, bucket int"))
 
 
 def blocks(entries: DataFrame, n: int) -> DataFrame:
     """Of each entry shared by several classes: kind 0 pairs with the entry's centre, kind 1 members (of three classes or more)."""
-    def run(_: int, parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        e = next(parts)
-        sig, cls = e["sig"], e["entry_cls"]
-        order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
-        once = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
-        sig, cls = sig[once], cls[once]
+
+    def out(kind: int, sig: np.ndarray, a: pa.Array | None, b: pa.Array) -> pa.RecordBatch:
+        none = pa.nulls(len(b), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(sig.astype(np.int64)), none if a is None else a, b], names=["kind", "sig", "a", "b"])
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """x and y: classes (c1, c2); equal ones make no pair."""
+        less = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
+        a, b = np.where(less[:, None], x, y), np.where(less[:, None], y, x)
+        both = np.concatenate([a, b], 1)[(x != y).any(1)]
+        both = both[np.lexsort(both.T[::-1])]
+        both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]] if len(both) else both
+        return out(0, np.zeros(len(both)), _binary(both[:, 0], both[:, 1]), _binary(both[:, 2], both[:, 3]))
+
+    def whole(sig: np.ndarray, cls: np.ndarray, least: int) -> Iterator[pa.RecordBatch | tuple]:
+        """Pairs and members of sorted entries; at last the centre of each signature."""
         new = np.r_[True, sig[1:] != sig[:-1]]
-        start = np.flatnonzero(new)
+        start, block = np.flatnonzero(new), np.cumsum(new) - 1
         size = np.diff(np.r_[start, len(sig)])
-        many = np.repeat(size > 1, size)
-        sig, cls, size = sig[many], cls[many], size[size > 1]
-        if not len(sig):
-            return
-        start = np.cumsum(size) - size
-        block = np.repeat(np.arange(len(size)), size)
         # eight orders of the classes: entries that agree on the order mostly agree on the centre
-        weight = mixed(cls.view(np.uint64) + (sig >> np.uint64(61)))
-        least = np.minimum.reduceat(weight, start)
+        weight = mixed(cls[:, 0] + (sig >> np.uint64(45)))
+        low = np.minimum.reduceat(weight, start)
         first = np.zeros(len(size), np.int64)
-        at = np.flatnonzero(weight == least[block])[::-1]
-        first[block[at]] = cls[at]
-        a, b = first[block], cls
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pair), np.int32)), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["kind", "a", "b"])
-        big = np.repeat(size > 2, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(big.sum()), np.int32)), pa.array(sig[big].view(np.int64)), pa.array(cls[big])], names=["kind", "a", "b"])
+        at = np.flatnonzero(weight == low[block])[::-1]
+        first[block[at]] = at
+        yield pairs(cls[first][block], cls)
+        big = size[block] >= least
+        yield out(1, sig[big], None, _binary(cls[big, 0], cls[big, 1]))
+        yield sig[start], cls[first]
 
-    return packed.exchange(entries, n, _ENTRY, run, "kind int, a long, b long")
+    def run(_: int, parts: Iterator[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held_sig, held = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        open_sig, centre = held_sig, held  # crowded signatures, whose further classes are passed on as they come
+        for e in parts:
+            sig, cls = e["sig"].astype(np.uint64) | e["more"].astype(np.uint64) << np.uint64(32), np.stack([e["c1"], e["c2"]], 1)
+            if len(open_sig):
+                at = np.searchsorted(open_sig, sig).clip(0, len(open_sig) - 1)
+                known = open_sig[at] == sig
+                yield pairs(centre[at[known]], cls[known])
+                yield out(1, sig[known], None, _binary(cls[known, 0], cls[known, 1]))
+                sig, cls = sig[~known], cls[~known]
+            sig, cls = np.r_[held_sig, sig], np.concatenate([held, cls])
+            order = np.lexsort((cls[:, 1], cls[:, 0], sig))
+            sig, cls = sig[order], cls[order]
+            once = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]).any(1)] if len(sig) else np.zeros(0, bool)
+            held_sig, held = sig[once], cls[once]
+            names, count = np.unique(held_sig, return_counts=True)
+            if len(go := names[count > CROWD]):
+                which = np.isin(held_sig, go)
+                *done, (sigs, centres) = whole(held_sig[which], held[which], 1)
+                yield from done
+                order = np.argsort(np.r_[open_sig, sigs])
+                open_sig, centre = np.r_[open_sig, sigs][order], np.concatenate([centre, centres])[order]
+                held_sig, held = held_sig[~which], held[~which]
+        names, back, count = np.unique(held_sig, return_inverse=True, return_counts=True)
+        many = count[back] > 1 if len(names) else np.zeros(0, bool)
+        if many.any():
+            *done, _ = whole(held_sig[many], held[many], 3)
+            yield from done
+
+    return packed.exchange(entries, n, _ENTRY, run, "kind int, sig long, a binary, b binary", PART)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -267,7 +359,7 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs of classes (a, b) that link. ``classes``: (cls, doc, hist), ``texts``: (doc_id, text)."""
+    """Of pairs of classes (a, b), those that link, as documents (a, b). ``classes``: (cls, doc, hist), ``texts``: (doc_id, text)."""
     spark = pairs.sparkSession
     own = classes.select("cls", "doc", "hist")
 
@@ -278,41 +370,57 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
                 yield batch.select(["a", "b", "da", "db"]).filter(pa.array(~_apart(x, y)))
 
     wide = pairs.join(own.select(F.col("cls").alias("a"), F.col("doc").alias("da"), F.col("hist").alias("ha")), "a").join(own.select(F.col("cls").alias("b"), F.col("doc").alias("db"), F.col("hist").alias("hb")), "b")
-    close = written(spark, wide.select("a", "b", "da", "db", "ha", "hb").mapInArrow(near, "a long, b long, da long, db long"), f"{name}-near")
+    close = written(spark, wide.select("a", "b", "da", "db", "ha", "hb").mapInArrow(near, "a binary, b binary, da long, db long"), f"{name}-near")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = [shingles(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["cls", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["cls", "s"])
 
     docs = sized(written(spark, close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct(), f"{name}-docs"))
     # rows that share a doc_id can have other sets: the class tells them apart
-    known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls long, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none")
+    known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls binary, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["da", "db"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
 
-    full = close.select("a", "b").join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    return written(spark, full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), name)
+    full = close.join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(check, "a long, b long"), name)
+    drop(close, known)
+    return links
 
 
 def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of an entry's classes that are in different components and that histograms don't rule out.
 
-    An entry of more than ``BLOCK`` classes is dealt into blocks by a hash, and each pair of blocks is a group of its own, so that
-    no task holds more than about two blocks at once and a common segment's work spreads over all tasks."""
+    An entry's classes are dealt into blocks of about ``BLOCK``: those of small components by component, those of a larger one into blocks of its
+    own, and each pair of blocks is a group, but for pairs within one large component. So no task holds more than about two
+    blocks at once, a common segment's work spreads over all tasks, and an entry of one large component costs as many groups as it has blocks."""
     spark = members.sparkSession
-    tagged = members.select(F.col("a").alias("sig"), F.col("b").alias("cls")).join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    tagged = written(spark, tagged, "members")
-    several = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("sig", "blocks")
-    rows = tagged.join(sized(written(spark, several, "several")), "sig").join(classes.select("cls", "hist"), "cls")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).select("sig", "cls", "label", "hist", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    known = members.join(classes.select("cls", "doc"), "cls").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    tagged = written(spark, known.select("sig", "cls", F.coalesce("label", "doc").alias("label")), "members")
+    of = tagged.groupBy("sig", "label").agg(F.count("*").alias("n"))
+    large = F.col("n") > BLOCK
+    k = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(0)
+    shape = of.groupBy("sig").agg(F.count("*").alias("labels"), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / BLOCK).alias("small"), F.sum(k).alias("own"))
+    shape = written(spark, shape.where("labels > 1").select("sig", "small", (F.col("small") + F.col("own")).alias("blocks")), "several")
+    before = Window.partitionBy("sig").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    apart = of.where(large).select("sig", "label", k.alias("k")).withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    rows = tagged.join(sized(shape), "sig").join(apart, ["sig", "label"], "left").join(classes.select("cls", "hist"), "cls")
+    first = F.col("small") + F.col("before")
+    own = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("label"), F.col("small"))).otherwise(first + F.pmod(F.xxhash64("cls"), F.col("k")))
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("long")
+    others = F.when(F.col("k").isNull(), span(zero, F.col("blocks"))).otherwise(F.concat(span(zero, first), span(first + F.col("k"), F.col("blocks"))))
+    rows = rows.select("sig", "cls", "label", "hist", own.alias("own"), F.explode(others).alias("other"))
     rows = rows.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "label", "hist")
 
     def tiles(across: bool, group: list) -> Iterator[pa.RecordBatch]:
-        own, cls, label = (np.array([g[i] for g in group], dtype=np.int64) for i in (0, 1, 2))
+        group = list({(g[0], g[1]): g for g in group}.values())  # a class can come twice
+        own, label = (np.array([g[i] for g in group], dtype=np.int64) for i in (0, 2))
+        cls = np.frombuffer(b"".join(g[1] for g in group), ">u8").reshape(-1, 2).astype(np.uint64)
         hist = np.frombuffer(b"".join(g[3] for g in group), "<u2").reshape(-1, BINS).astype(np.int32)
         size = hist.sum(1)
         left = int((own == own[0]).sum())  # rows come sorted by block
@@ -322,8 +430,10 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
             for part in np.array_split(other, max(1, len(other) // 4096)):
                 ok = part[np.abs(hist[part] - hist[i]).sum(1) <= most_apart(size[part], size[i])]
                 if len(ok):
-                    a, b = np.minimum(cls[ok], cls[i]), np.maximum(cls[ok], cls[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    x, y = cls[ok], np.broadcast_to(cls[i], (len(ok), 2))
+                    less = ((x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1])))[:, None]
+                    a, b = np.where(less, x, y), np.where(less, y, x)
+                    yield pa.RecordBatch.from_arrays([_binary(a[:, 0], a[:, 1]), _binary(b[:, 0], b[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
@@ -338,7 +448,7 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
             yield from tiles(at[1] != at[2], group)
 
     n = partitions(spark)
-    return rows.repartition(n, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "own").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "own").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -348,20 +458,22 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     first = written(spark, shingled(docs, sample_plan(docs), 4 * n), "shingled", "lz4")
     rows = first.where("bucket IS NULL").select("doc_id", "n", "cls", "hist")
-    classes = written(spark, rows.where("cls <> 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("hist").alias("hist")), "classes")
-    found = written(spark, blocks(first.where("bucket IS NOT NULL").select("bucket", "sig", "entry_cls"), n), "blocks")
+    nodes = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL")
+    classes = written(spark, nodes.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("hist").alias("hist")), "classes")
+    found = written(spark, blocks(first.where("bucket IS NOT NULL").select("bucket", *_ENTRY), n), "blocks")
     one = verified(found.where("kind = 0").select("a", "b").distinct(), classes, docs, "links-1")
     labels = connected_components(one, "first")
-    two = verified(remaining(found.where("kind = 1"), labels, classes), classes, docs, "links-2")
-    # a doc_id that several rows share joins their classes
-    nodes = rows.where("cls <> 0 AND doc_id IS NOT NULL")
-    shared = nodes.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
-    links = one.unionByName(two).unionByName(nodes.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("cls").alias("b")))
-    final = connected_components(links, "final").select(F.col("node").alias("cls"), "label")
-    of_class = classes.join(final, "cls", "left").select("cls", "doc", F.coalesce("label", "cls").alias("label"))
-    least = of_class.groupBy("label").agg(F.min("doc").alias("component_id"))
-    component = of_class.join(least, "label").select("cls", "component_id")
-    return rows.join(component, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    two = verified(remaining(found.where("kind = 1").select("sig", F.col("b").alias("cls")), labels, classes), classes, docs, "links-2")
+    drop(found)
+    # the least documents of the classes of rows that share a doc_id are joined too
+    of = nodes.select("doc_id", "cls").join(classes.select("cls", "doc"), "cls")
+    links = one.unionByName(two).unionByName(of.where("doc_id <> doc").groupBy("doc_id").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most")
+        .join(of, "doc_id").select(F.col("least").alias("a"), F.col("doc").alias("b")))
+    links = links.unionByName(of.where("doc_id <> doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).join(classes.select(F.col("doc").alias("a")).distinct(), "a", "left_semi"))
+    final = connected_components(links, "final")
+    component = classes.select("cls", "doc").join(final, F.col("doc") == F.col("node"), "left").select("cls", F.coalesce("label", "doc").alias("component_id"))
+    out = rows.select("doc_id", "n", "cls").join(component, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

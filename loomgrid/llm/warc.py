@@ -72,8 +72,8 @@ def tree(leaves: DataFrame, depth: tuple[int, int], name: str) -> list[DataFrame
 
 
 def audit(primary: DataFrame, replica: DataFrame, read: list | None = None) -> DataFrame:
-    """(file_id, volume, seq, status) of the records that differ; manifests give (file_id, volume, seq, offset, length, digest). The
-    levels' tables that are compared are added to ``read``."""
+    """(file_id, volume, seq, status) of the records that differ; manifests give (file_id, volume, seq, offset, length, digest). What
+    is read of levels is added to ``read``."""
     spark = primary.sparkSession
     sides = [m.groupBy(*_PLACE).agg(F.min_by(F.struct("offset", "length", "digest"), "digest").alias("r")).select(*_PLACE, "r.*") for m in (primary, replica)]
     # files are numbered in order over both replicas: a few numbers a file
@@ -101,11 +101,11 @@ def audit(primary: DataFrame, replica: DataFrame, read: list | None = None) -> D
                 inside = [r[0] for r in bad.select("branch").distinct().collect()]  # FAN * FAN at most
                 inside = inside if level < top else [FAN * k + i for k in inside for i in range(FAN)]
                 x, y = (t.where(F.col("branch").isin(inside)) for t in (x, y))  # other folders aren't read
+                if read is not None:
+                    read.append((level, x, y))
             up = [F.col("number"), F.shiftright("seq", 4)] if level < depth[0] else [F.shiftright("number", 4), F.col("seq")]
             keys = sized(bad.select(F.col("number").alias("_n"), F.col("seq").alias("_s")))
             x, y = (t.join(keys, (up[0] == F.col("_n")) & (up[1] == F.col("_s")), "left_semi") for t in (x, y))
-        if read is not None:
-            read.append((level, x, y))
         y = y.select("number", "seq", *[F.col(c).alias(f"_{c}") for c in ("lo", "hi", "digest", "branch")])
         same = (F.col("digest") == F.col("_digest")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
         status = F.when(F.col("_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").when(F.col("digest") != F.col("_digest"), "corrupt").otherwise("moved")
