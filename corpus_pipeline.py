@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import langid, mixing, ngram_join, packing, pii
-from loomgrid.llm.common import sized, table, written
+from loomgrid.llm.common import distinct_ids, ordered_keys, sized, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group that links of shingle similarity 0.8 or more join; rows without an id stay."""
-    found = written(spark, ngram_join.ngram_components(docs).select("doc_id", "component_id"), "components")
-    gone = sized(written(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
-    repeated = written(spark, found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if repeated.limit(1).count():  # only rows that share an id are compared
-        repeated = sized(repeated)
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """One document of each group that links of shingle similarity 0.8 or more join: the one of least doc_id (null ids come first, rows that
+    share an id in the order of a hash of their text). Documents without words are no one's duplicates and all stay."""
+    unique = distinct_ids(docs, "doc_id")
+    rows = docs.withColumn("_key", F.col("doc_id").cast("long")) if unique else ordered_keys(docs, "doc_id", "text", "_key")
+    found = written(spark, ngram_join.ngram_components(rows.select(F.col("_key").alias("doc_id"), "text")).select("doc_id", "component_id"), "components")
+    gone = sized(written(spark, found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")), "gone"))
+    return rows.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
