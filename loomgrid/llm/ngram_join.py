@@ -151,41 +151,57 @@ class Plan:
     def in_band(self, s: np.ndarray, band: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of the whole segments that are picked, and of the neighbourhoods."""
         m, deleted = self.allocation(band)
+        parts = Segments(self, s, band, m)
+        return parts.picked(deleted, apart), parts.near(deleted)[0]
+
+
+class Segments:
+    """A set dealt to m segments of a band."""
+
+    def __init__(self, plan: Plan, s: np.ndarray, band: int, m: int):
         salt = np.uint64((band + 1) * 0xA24BAED4963EE407 % (1 << 64))
         x = mixed(s ^ salt)
         seg = ((x >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
-        x, seg = x[order], seg[order]
-        size = np.bincount(seg, minlength=m)
-        total = np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)]
-        ends = np.cumsum(size)
-        sums = total[ends] - total[ends - size]
-        tag = mixed(np.arange(m, dtype=np.uint64) * np.uint64(2) + salt)
-        near = s[:0]
-        rest = np.ones(m, dtype=bool)
-        if deleted:
-            rest[list(deleted)] = False
-            of = ~rest[seg]
-            near = np.r_[mixed((sums + tag)[~rest]), mixed(sums[seg[of]] - x[of] + tag[seg[of]])]
-        keep = max(apart + 1 - 2 * len(deleted), 0)
-        pick = np.flatnonzero(rest)
+        self.m, self.x, self.seg = m, x[order], seg[order]
+        self.size = np.bincount(seg, minlength=m)
+        total = np.r_[np.uint64(0), np.cumsum(self.x, dtype=np.uint64)]
+        ends = np.cumsum(self.size)
+        self.tag = mixed(np.arange(m, dtype=np.uint64) * np.uint64(2) + salt)
+        self.sums = total[ends] - total[ends - self.size]
+        self.whole = mixed(self.sums + self.tag)
+        self.rare = np.zeros(m, np.int64)
+        if len(plan.hot):
+            at = np.searchsorted(plan.hot, s[order]).clip(0, len(plan.hot) - 1)
+            df = np.where(plan.hot[at] == s[order], plan.df[at], 0)
+            full = np.flatnonzero(self.size)
+            self.rare[full] = np.minimum.reduceat(df, (ends - self.size)[full])
+        self.rare[self.size == 0] = 1 << 30
+
+    def near(self, deleted: frozenset[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the segments' one-deletion neighbourhoods, and their segments."""
+        if not deleted:
+            return self.x[:0], self.seg[:0]
+        of = np.zeros(self.m, dtype=bool)
+        of[list(deleted)] = True
+        at, each = np.flatnonzero(of), of[self.seg]
+        seg = self.seg[each]
+        return np.r_[self.whole[at], mixed(self.sums[seg] - self.x[each] + self.tag[seg])], np.r_[at, seg]
+
+    def picked(self, deleted: frozenset[int], apart: int) -> np.ndarray:
+        """Signatures of as many of the other segments, whole, as the rest of the error budget needs."""
+        rest = np.ones(self.m, dtype=bool)
+        rest[list(deleted)] = False
+        pick, keep = np.flatnonzero(rest), max(apart + 1 - 2 * len(deleted), 0)
         if keep < len(pick):
-            rare = np.zeros(m, np.int64)
-            if len(self.hot):
-                at = np.searchsorted(self.hot, s[order]).clip(0, len(self.hot) - 1)
-                df = np.where(self.hot[at] == s[order], self.df[at], 0)
-                full = np.flatnonzero(size)
-                rare[full] = np.minimum.reduceat(df, (ends - size)[full])
-            rare[size == 0] = 1 << 30
-            pick = pick[np.lexsort((mixed(sums + tag)[pick], -size[pick], rare[pick]))[:keep]]
-        return mixed((sums + tag)[pick]), near
+            pick = pick[np.lexsort((self.whole[pick], -self.size[pick], self.rare[pick]))[:keep]]
+        return self.whole[pick]
 
 
-def _cost(signatures: list[np.ndarray], scale: float) -> float:
-    if not signatures:
-        return 0.0
-    _, n = np.unique(np.concatenate(signatures), return_counts=True)
-    return float(n.sum() + PAIR * scale * (n * (n - 1.0)).sum())
+def _cost(signatures: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct signatures, by the place of their first, and what each costs."""
+    _, first, n = np.unique(signatures, return_index=True, return_counts=True)
+    return first, n + PAIR * scale * n * (n - 1.0)
 
 
 def plan_of(sets: list[np.ndarray], rows: int = 0) -> Plan:
@@ -202,26 +218,26 @@ def plan_of(sets: list[np.ndarray], rows: int = 0) -> Plan:
     for s in distinct:
         by_band.setdefault(plan.band(len(s)), []).append(s)
     for band, some in by_band.items():
-        far = most_apart(plan.top(band), plan.top(band))
-        if not far:
-            continue
-        best = None
-        for m in sorted({-(-(far + 1) // 2), far + 1, 2 * (far + 1), 4 * (far + 1)}):
+        far, best = most_apart(plan.top(band), plan.top(band)), None
+        apart = [most_apart(len(s), plan.top(band)) for s in some]
+        for m in sorted({-(-(far + 1) // 2), far + 1, 2 * (far + 1), 4 * (far + 1)}) if far else ():
+            parts = [Segments(plan, s, band, m) for s in some]
+            # segments by what their neighbourhoods cost
+            all_near, of = (np.concatenate(c) for c in zip(*(p.near(frozenset(range(m))) for p in parts), strict=True))
+            first, cost = _cost(all_near, scale)
+            order = np.argsort(np.bincount(of[first], cost, minlength=m), kind="stable")
             most = (far + 1) // 2 if m > -(-(far + 1) // 2) else m
-            # what the neighbourhood of each segment alone costs
-            single = []
-            for i in range(m) if m <= 64 else ():
-                trial = Plan({band: (m, frozenset([i]))}, plan.hot, plan.df)
-                single.append((_cost([trial.in_band(s, band, 0)[1] for s in some], scale), i))
-            order = [i for _, i in sorted(single)] or list(range(m))
-            for k in sorted({0, 1, 2, most // 2, most}):
-                if k > most or far + 1 - 2 * k > m - k:  # too few segments for the budget
+            for k in sorted({0, 1, most // 2, most}):
+                if far + 1 - 2 * k > m - k:  # too few segments for the budget
                     continue
-                trial = Plan({band: (m, frozenset(order[:k]))}, plan.hot, plan.df)
-                cost = _cost([np.unique(np.concatenate(trial.in_band(s, band, most_apart(len(s), plan.top(band))))) for s in some], scale)
-                if best is None or cost < best[0]:
-                    best = (cost, trial.bands[band])
-        plan.bands[band] = best[1]
+                deleted = frozenset(order[:k].tolist())
+                near = all_near[np.isin(of, order[:k])]
+                whole = np.concatenate([p.picked(deleted, d) for p, d in zip(parts, apart, strict=True)])
+                price = _cost(np.r_[near, whole], scale)[1].sum()
+                if best is None or price < best[0]:
+                    best = (price, (m, deleted))
+        if best is not None:
+            plan.bands[band] = best[1]
     return plan
 
 
