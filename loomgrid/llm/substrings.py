@@ -41,7 +41,7 @@ REACH = LENGTH - GRAM
 #: Bytes that are parsed at once.
 SLICE = 1 << 20
 #: Distinct phrases of a gram that a task compares at once; grams with more are compared string by string, wherever the strings' hashes lie.
-CROWD = 20_000
+CROWD = 100_000
 #: Entries of a bucket that are added at a time.
 PART = 500_000
 _BASE = 0x9E3779B97F4A7C15

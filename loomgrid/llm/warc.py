@@ -67,7 +67,7 @@ def tree(leaves: DataFrame, depth: tuple[int, int], name: str) -> list[DataFrame
             leaves = out[-1].groupBy(*up).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
         above = 4 * max(depth[1] - 2 - max(level - depth[0], 0), 0)
         leaves = leaves.select("number", "seq", "lo", "hi", "digest", F.shiftright("number", above).alias("branch"))
-        out.append(written(spark, leaves, f"{name}-{level}", by="branch"))
+        out.append(written(spark, leaves, f"{name}-{level}", by="branch" if level < 2 else None))  # the levels above are small
     return out
 
 
