@@ -27,6 +27,8 @@ from .common import table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
+#: Languages that are told apart at most: their code, weights and counts are sent to every task.
+LANGUAGES = 2000
 ORDERS = (1, 2, 3)
 #: Texts are counted in slices of this many code points (overlapping by the longest n-gram), to bound memory.
 SLICE = 1 << 18
@@ -117,36 +119,44 @@ def fit(x: np.ndarray, langs: list[str], steps: int = 150) -> Model:
     return Model(languages, code, w, b, np.maximum(right - 0.5, 0.01) * 2)
 
 
-def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
-    """The rows of each ``_lang`` whose ``_at`` (a hash) is least, ``per_language`` of them and ties of the last 1/65536 of hashes.
-
-    Counts by language and hash range are summed before the shuffle, so no task sees the rows of a language."""
-    slot = F.shiftrightunsigned(F.col("_at"), 16)
-    counts = labelled.groupBy("_lang", slot.alias("_slot")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_lang").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = counts.withColumn("_before", before).where(F.col("_before") < per_language).groupBy("_lang").agg(F.max("_slot").alias("_last"))
-    return labelled.join(last, "_lang").where(slot <= F.col("_last")).drop("_last")
+def sampled(labelled: DataFrame, quota: int) -> DataFrame:
+    """Of the rows (_lang, _at, ...) of each language, those whose hash ``_at`` (32 bits) is least: about twice ``quota`` of them, one for each hash, or
+    all. Rows are counted by language before a shuffle, and only those that stay are shuffled."""
+    share = (2.0 * quota + 200) / F.col("n")
+    last = labelled.groupBy("_lang").agg(F.count("*").alias("n")).select("_lang", (share * (1 << 32)).alias("_last"))
+    return labelled.join(F.broadcast(last), "_lang").where(F.col("_at") <= F.col("_last")).drop("_last").dropDuplicates(["_lang", "_at"])
 
 
 def fit_on(docs: DataFrame, per_language: int = 600, most: int = 6000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Model of the labelled rows of ``docs``: at most ``per_language`` of each language (the least by hash of id and text) and about ``most`` in
-    all, of which only the n-gram counts reach the driver, ``BUCKETS`` numbers a row."""
+    """Model of the labelled rows of ``docs``: at most ``per_language`` of each language (the least by hash of id and text) and ``most`` in
+    all (or one of each language), of which only the n-gram weights reach the driver. Refuses tables with more than ``LANGUAGES`` languages."""
     at = F.crc32(F.concat_ws(" ", F.col(id).cast("string"), F.crc32(F.col(text).cast("binary")).cast("string")))
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), at.alias("_at"), F.col(text).alias("_text"))
     languages = labelled.agg(F.countDistinct("_lang")).first()[0]
+    if languages > LANGUAGES:
+        raise ValueError(f"{languages} languages, of {LANGUAGES} at most")
     if not languages:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
     quota = max(1, min(per_language, most // languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(g, a, features(t).tobytes()) for g, a, t in ((*gat, x.as_py()) for *gat, x in zip(batch.column("_lang").to_pylist(), batch.column("_at").to_pylist(), batch.column("_text"), strict=True)) if any(map(str.isalpha, t))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["_lang", "_at", "x"])
-
-    few = sampled(labelled, quota).select("_lang", "_at", "_text").mapInArrow(run, "_lang string, _at long, x binary")
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_at", "x"))  # the quota and ties
-    rows = few.withColumn("_n", nth).where(F.col("_n") <= quota).orderBy("_lang", "_at", "x").collect()
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, BUCKETS), np.float32), [r["_lang"] for r in rows])
+            found = []
+            for g, a, text in zip(batch.column("_lang").to_pylist(), batch.column("_at").to_pylist(), batch.column("_text"), strict=True):
+                t = text.as_py()
+                if any(map(str.isalpha, t)):
+                    x = features(t)
+                    at = np.flatnonzero(x)
+                    found.append((g, a, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["_lang", "_at", "grams", "x"])
+
+    few = sampled(labelled, quota).select("_lang", "_at", "_text").mapInArrow(run, "_lang string, _at long, grams binary, x binary")
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_at"))  # of about twice the quota
+    rows = few.withColumn("_n", nth).where(F.col("_n") <= quota).orderBy("_lang", "_at").collect()
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r.grams, "<u2")] = np.frombuffer(r.x, "<f4")
+    return fit(x, [r["_lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Cost and selectivity of every rule are estimated on a bounded sample (the rows least by hash of the text that the base rules let
-through, stored with their features); rules then run in order of rejections per second, and ``CASE`` stops at the first that fails. The order never changes a verdict, only the work.
+Cost and selectivity of every rule are estimated on a bounded sample (rows whose texts have the least hashes, of which those that the base rules let
+through are stored with their features); rules then run in order of rejections per second, and ``CASE`` stops at the first that fails. The order never changes a verdict, only the work.
 
 Defined results: null text has no words and fails the base rules; a rule that yields null passes; repeated rows,
 ties and extra columns pass through unchanged; an empty table gives an empty table.
@@ -112,7 +112,9 @@ def quality_filter(df: DataFrame, rules: Sequence[Rule] | None = None, text: str
     wide = df.select(*keep, F.col(text).alias("text"), features(F.col(text)).alias("_f")).select(*keep, "text", *[F.col("_f")[n].alias(n) for n in names])
     base = reduce(lambda a, b: a | b, [r.fails for r in base_rules()])
     rules = default_rules() if rules is None else rules
-    few = df.select(F.col(text).alias("text"), *[c for c in keep]).orderBy(F.xxhash64("text"), "text").limit(sample_rows)
+    hashed = F.xxhash64(text)  # distinct ones, so that copies of a text take one place
+    last = df.select(hashed.alias("h")).distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    few = df.where(hashed <= F.lit(last)).select(*keep, F.col(text).alias("text")).limit(2 * sample_rows)
     probe = few.withColumn("_f", features(F.col("text"))).select(*keep, "text", *[F.col("_f")[n].alias(n) for n in names]).where(~base)
     sample = written(df.sparkSession, probe, "quality-sample")
     order = ranked(sample, rules)

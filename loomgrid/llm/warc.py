@@ -2,8 +2,8 @@ r"""Merkle fixity audit of WARC archives.
 
 Records are rendered as WARC/1.1 and laid out in files; a manifest gives each record's file, place, offset, length and SHA-256. Per replica
 a tree is built over ordered offset ranges: a node hashes its children's places, ranges and digests, ``FAN`` neighbours at a time, first inside
-each file, then over the files. Levels are written once, in folders by branch (a node two steps below the root). Replicas are compared from
-the root down: a level is read in the folders of branches that differ alone, and there only children of nodes that differ are compared.
+each file, then over the files. Levels are written once, the two lowest in folders by branch (a node two steps below the root). Replicas are compared
+from the root down: of those two only the folders of branches that differ are read, and only children of nodes that differ are compared.
 
 Files hold the pages of ``PER_FILE`` consecutive ids; a file of more than ``VOLUME`` records (repeated ids) is split into volumes by digest, and
 null ids are dealt over ``LOOSE`` files by digest, so no task sees more than one volume's manifest.
