@@ -16,6 +16,7 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Ids that are sent to every executor (8 bytes each); beyond it tables are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _LEFT: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,15 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None, batch: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors. ``by``: a column to
-    partition its files by. ``drop`` removes it; tables that are left (results may still read them) go when the driver ends."""
+    partition its files by; ``batch``: rows that Arrow functions get at once, where rows are large. ``drop`` removes it; tables that are left (results may still read them) go when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not _LEFT:
         atexit.register(_clear, spark)
     _LEFT.add(path)
     writer = df.write.option("compression", codec)
-    (writer if by is None else writer.partitionBy(by)).parquet(path)
+    held = spark.conf.get(_BATCH)
+    if batch is not None:
+        spark.conf.set(_BATCH, str(batch))
+    try:
+        (writer if by is None else writer.partitionBy(by)).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, held)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back

@@ -48,7 +48,7 @@ BINS = 256
 #: Classes of an index entry that are compared as one group; larger entries are split into blocks.
 BLOCK = 1024
 #: Entries of a bucket that are added at a time, and classes of a signature from which on they are passed on at once.
-PART, CROWD = 2_000_000, 20_000
+PART, CROWD = 500_000, 20_000
 #: Bytes of a text that are cut into words at once.
 SLICE = 1 << 20
 #: What a pair that collides costs, in index entries.
@@ -286,12 +286,12 @@ def shingled(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
                 for col, x in zip(rows, (i, len(s), cls, histogram(s) if len(s) else None), strict=True):
                     col.append(x)
                 if cls and i is not None and cls not in done:  # a task's further copies add nothing
-                    if len(done) < 200_000:
+                    if len(done) < 100_000:
                         done.add(cls)
                     held.append(plan.entries(s))
                     classes.append(cls)
                     size += len(held[-1])
-                if size > 1_000_000:
+                if size > 200_000:
                     if (e := entries(held, classes)) is not None:
                         yield both(None, e)
                     held, classes, size = [], [], 0
@@ -403,7 +403,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
             yield batch.select(["da", "db"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
 
     full = close.join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(check, "a long, b long"), name)
+    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(check, "a long, b long"), name, batch=500)
     drop(close, known)
     return links
 
@@ -472,11 +472,11 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n = partitions(spark)
-    first = written(spark, shingled(docs, sample_plan(docs), 4 * n), "shingled", "lz4")
+    first = written(spark, shingled(docs, sample_plan(docs), 4 * n), "shingled", "lz4", batch=1000)
     rows = first.where("bucket IS NULL").select("doc_id", "n", "cls", "hist")
     nodes = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL")
     classes = written(spark, nodes.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("hist").alias("hist")), "classes")
-    found = written(spark, blocks(first.where("bucket IS NOT NULL").select("bucket", *_ENTRY), n), "blocks")
+    found = written(spark, blocks(first.where("bucket IS NOT NULL").select("bucket", *_ENTRY), n), "blocks", batch=200)
     one = verified(found.where("kind = 0").select("a", "b").distinct(), classes, docs, "links-1")
     labels = connected_components(one, "first")
     two = verified(remaining(found.where("kind = 1").select("sig", F.col("b").alias("cls")), labels, classes), classes, docs, "links-2")

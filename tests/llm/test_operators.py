@@ -115,7 +115,7 @@ def test_ngram_join(spark, frequent, crowd, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)  # entries split into many blocks
     monkeypatch.setattr(ngram_join, "SLICE", 50)  # texts cut into many slices
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
-    monkeypatch.setattr(ngram_join, "PART", 50 if crowd == 3 else 2_000_000)
+    monkeypatch.setattr(ngram_join, "PART", 50 if crowd == 3 else 500_000)
     r, rows = random.Random(3), []
     common = " ".join(f"c{i}" for i in range(40))
     for g in range(12):
