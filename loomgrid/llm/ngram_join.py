@@ -386,7 +386,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
                 yield batch.select(["a", "b", "da", "db"]).filter(pa.array(~_apart(x, y)))
 
     wide = pairs.join(own.select(F.col("cls").alias("a"), F.col("doc").alias("da"), F.col("hist").alias("ha")), "a").join(own.select(F.col("cls").alias("b"), F.col("doc").alias("db"), F.col("hist").alias("hb")), "b")
-    close = written(spark, wide.select("a", "b", "da", "db", "ha", "hb").mapInArrow(near, "a binary, b binary, da long, db long"), f"{name}-near")
+    close = written(spark, wide.select("a", "b", "da", "db", "ha", "hb").mapInArrow(near, "a binary, b binary, da long, db long"), f"{name}-near", batch=1000)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,7 +395,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
 
     docs = sized(written(spark, close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct(), f"{name}-docs"))
     # rows that share a doc_id can have other sets: the class tells them apart
-    known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls binary, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none")
+    known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls binary, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none", batch=200)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,7 +403,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
             yield batch.select(["da", "db"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
 
     full = close.join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(check, "a long, b long"), name, batch=500)
+    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(check, "a long, b long"), name, batch=200)
     drop(close, known)
     return links
 
