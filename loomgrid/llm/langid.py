@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -150,7 +150,7 @@ def fit_on(docs: DataFrame, per_language: int = 600, most: int = 6000, id: str =
                     found.append((g, a, at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["_lang", "_at", "grams", "x"])
 
-    few = sampled(labelled, quota).select("_lang", "_at", "_text").mapInArrow(run, "_lang string, _at long, grams binary, x binary")
+    few = sampled(labelled, quota).select("_lang", "_at", "_text").mapInArrow(tidy(run), "_lang string, _at long, grams binary, x binary")
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_at"))  # of about twice the quota
     rows = few.withColumn("_n", nth).where(F.col("_n") <= quota).orderBy("_lang", "_at").collect()
     x = np.zeros((len(rows), BUCKETS), np.float32)
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
             extra = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *extra], names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

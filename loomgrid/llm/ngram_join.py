@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import drop, partitions, sized, table, written
+from .common import drop, partitions, sized, table, tidy, written
 from .components import connected_components
 from .packed import mixed
 
@@ -251,7 +251,7 @@ def sample_plan(docs: DataFrame) -> Plan:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets if len(s) <= 5000], pa.binary())], names=["s"])
 
-    seen = few.select("text").mapInArrow(run, "s binary").limit(4 * SAMPLE).collect()
+    seen = few.select("text").mapInArrow(tidy(run), "s binary").limit(4 * SAMPLE).collect()
     return plan_of([np.frombuffer(r[0], np.uint64) for r in seen], docs.count())
 
 
@@ -300,7 +300,7 @@ def shingled(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
             if (e := entries(held, classes)) is not None and e.num_rows:
                 yield both(None, e)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, packed.schema(_ENTRY, "doc_id long, n long, cls binary, hist binary, bucket int"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), packed.schema(_ENTRY, "doc_id long, n long, cls binary, hist binary, bucket int"))
 
 
 def blocks(entries: DataFrame, n: int) -> DataFrame:
@@ -386,7 +386,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
                 yield batch.select(["a", "b", "da", "db"]).filter(pa.array(~_apart(x, y)))
 
     wide = pairs.join(own.select(F.col("cls").alias("a"), F.col("doc").alias("da"), F.col("hist").alias("ha")), "a").join(own.select(F.col("cls").alias("b"), F.col("doc").alias("db"), F.col("hist").alias("hb")), "b")
-    close = written(spark, wide.select("a", "b", "da", "db", "ha", "hb").mapInArrow(near, "a binary, b binary, da long, db long"), f"{name}-near", batch=1000)
+    close = written(spark, wide.select("a", "b", "da", "db", "ha", "hb").mapInArrow(tidy(near), "a binary, b binary, da long, db long"), f"{name}-near", batch=1000)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,7 +395,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
 
     docs = sized(written(spark, close.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct(), f"{name}-docs"))
     # rows that share a doc_id can have other sets: the class tells them apart
-    known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls binary, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none", batch=200)
+    known = written(spark, texts.join(docs, "doc_id", "left_semi").select("text").mapInArrow(tidy(sets), "cls binary, s binary").dropDuplicates(["cls"]), f"{name}-sets", "none", batch=200)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,7 +403,7 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, name: str)
             yield batch.select(["da", "db"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
 
     full = close.join(known.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(known.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
-    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(check, "a long, b long"), name, batch=200)
+    links = written(spark, full.select("da", "db", "sa", "sb").mapInArrow(tidy(check), "a long, b long"), name, batch=200)
     drop(close, known)
     return links
 
@@ -464,7 +464,7 @@ def remaining(members: DataFrame, labels: DataFrame, classes: DataFrame) -> Data
             yield from tiles(at[1] != at[2], group)
 
     n = partitions(spark)
-    return rows.repartition(n, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "own").mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition(n, "sig", "x", "y").sortWithinPartitions("sig", "x", "y", "own").mapInArrow(tidy(run), "a binary, b binary").distinct()
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 
 def schema(columns: dict[str, str], key: str = "bucket int") -> str:
     return ", ".join([key, *[f"{c} binary" for c in columns]])
@@ -67,7 +69,7 @@ def exchange(df: DataFrame, n: int, kinds: dict[str, str], run: Callable[[int, I
                 if batch is not None and batch.num_rows:
                     yield batch
 
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(all_of, out)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(all_of), out)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, table, tidy, written
 from .tokens import tokens
 
 WIDTH, QUANTUM = 4096, 2048
@@ -67,7 +67,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, quantum: int = QUANTUM
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _TOKEN_SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue")).mapInArrow(run, _TOKEN_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue")).mapInArrow(tidy(run), _TOKEN_SCHEMA)
 
 
 def shares(totals: DataFrame, targets: dict[str | None, float] | None, power: float) -> DataFrame:
@@ -106,11 +106,11 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str | None, flo
             yield batch.append_column("span", pa.array(np.searchsorted(cuts, batch.column("due").to_numpy(), side="right").astype(np.int32)))
 
     narrow = placed.select("due", "n")
-    sums = narrow.mapInArrow(deal, "due double, n long, span int").groupBy("span").agg(F.sum("n").alias("n"))
+    sums = narrow.mapInArrow(tidy(deal), "due double, n long, span int").groupBy("span").agg(F.sum("n").alias("n"))
     starts, at = {}, 0
     for span, size in sorted(map(tuple, sums.collect())):  # 4 x partitions rows at most
         starts[span], at = at, at + size
-    wide = placed.mapInArrow(deal, placed.schema.simpleString()[7:-1].replace(":", " ") + ", span int")
+    wide = placed.mapInArrow(tidy(deal), placed.schema.simpleString()[7:-1].replace(":", " ") + ", span int")
     row = wide.repartition(n, "span").sortWithinPartitions("span", "due", "queue", "place")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str | None, flo
             fixed = (start, hi - lo, sums, batch.column("doc_tokens").to_numpy()[unit], window, lo - window * width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(unit)), *[pa.array(x.astype(np.int64)) for x in fixed]], names=[c.split()[0] for c in _PIECE_SCHEMA.split(", ")])
 
-    return row.select("doc_id", "start", "n", "doc_tokens", "ids", "span").mapInArrow(cut, _PIECE_SCHEMA)
+    return row.select("doc_id", "start", "n", "doc_tokens", "ids", "span").mapInArrow(tidy(cut), _PIECE_SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import distinct_ids, ordered_keys, partitions, table, written
+from .common import distinct_ids, ordered_keys, partitions, table, tidy, written
 from .packed import mixed, of_ids
 
 LENGTH, GRAM = 100, 36
@@ -211,7 +211,7 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         if pieces:
             yield from (b for b in flush(pieces) if b is not None)
 
-    return docs.select("key", "text").mapInArrow(run, packed.schema(_ENTRY))
+    return docs.select("key", "text").mapInArrow(tidy(run), packed.schema(_ENTRY))
 
 
 def dictionary(parsed: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -350,7 +350,7 @@ def phrases(wanted: DataFrame, docs: DataFrame, out: str, ready: Callable[[dict[
         if held:
             yield from flush()
 
-    return docs.select("key", "text").join(wanted, "key").mapInArrow(fetch, out)
+    return docs.select("key", "text").join(wanted, "key").mapInArrow(tidy(fetch), out)
 
 
 def compare(wanted: DataFrame, docs: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -448,7 +448,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", out_
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = rows.join(spans, "key", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = rows.join(spans, "key", "left").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return found if out_text else found.drop("kept")
 
 
