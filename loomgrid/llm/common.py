@@ -90,17 +90,22 @@ def drop(*tables: DataFrame) -> None:
         _remove(t.sparkSession, t.written_at)
 
 
+def trim() -> None:
+    """Gives memory that Arrow and numpy have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give is not None:
+        give(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """An Arrow function that at its end gives freed memory back to the system: Python workers outlive their tasks."""
+    """An Arrow function that trims at its end: Python workers outlive their tasks."""
 
     def through(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
+            trim()
 
     return through
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tidy
+from .common import table, tidy, trim
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -156,7 +156,10 @@ def fit_on(docs: DataFrame, per_language: int = 600, most: int = 6000, id: str =
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.grams, "<u2")] = np.frombuffer(r.x, "<f4")
-    return fit(x, [r["_lang"] for r in rows])
+    model = fit(x, [r["_lang"] for r in rows])
+    del x, rows
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
