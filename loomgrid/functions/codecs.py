@@ -7,7 +7,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -149,7 +149,31 @@ def decode_stream(c: Column, codec: str = "arithmetic") -> Column:
     return run(c)
 
 
-def log2_factorials(df: DataFrame, n: str) -> DataFrame:
-    """(n, log2 n!) for 1 to the largest n."""
-    top = df.agg(F.max(n).alias("m")).select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("n"))
-    return top.withColumn("lf", F.sum(F.log2("n")).over(Window.orderBy("n")))
+def element(raw: bytes, i: int, codec: str = "arithmetic") -> int:
+    """The i-th value of a coded stream: all are decoded."""
+    return (entropy_decode if codec == "arithmetic" else vbyte_decode)(raw)[i]
+
+
+def arithmetic_size(df: DataFrame, keys: list[str], v: str) -> DataFrame:
+    """Bytes of a static arithmetic code with a dense table: 4 for each symbol from 0 to the largest, the entropy of the counts plus one in
+    words of 32 bits (an estimate of the coder's own words), and 8."""
+    counts = df.groupBy(*keys, v).agg(F.count("*").alias("c"))
+    t = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.max(v).alias("m"), F.sum(F.col("c") * F.log2(F.col("c") + 1)).alias("s"))
+    bits = F.round(F.col("n") * F.log2(F.col("n") + F.col("m") + 1) - F.col("s"), 6)
+    return t.select(*keys, (4 * F.ceil(bits / 32) + 4 * (F.col("m") + 1) + 8).cast("long").alias("size"))
+
+
+def delta_size(df: DataFrame, keys: list[str], v: str) -> DataFrame:
+    """A sorted list as its first value and gaps, arithmetic coded, and 16."""
+    w = Window.partitionBy(*keys).orderBy(v)
+    gaps = df.select(*keys, (F.col(v) - F.coalesce(F.lag(v).over(w), F.lit(0))).alias("_gap"))
+    return arithmetic_size(gaps, keys, "_gap").withColumn("size", F.col("size") + 16)
+
+
+def log2_factorials(spark: SparkSession, most: int, run: int = 4096) -> DataFrame:
+    """(n, log2 n!) for 1 to ``most``: running sums inside runs, then offsets of the runs before."""
+    x = spark.range(1, most + 1).select(F.col("id").alias("n"), F.floor(F.col("id") / run).alias("_r"), F.log2("id").alias("_l"))
+    inside = x.withColumn("_s", F.sum("_l").over(Window.partitionBy("_r").orderBy("n")))
+    totals = x.groupBy("_r").agg(F.sum("_l").alias("_t"))  # a row for each run
+    before = totals.select("_r", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_b"))
+    return inside.join(before, "_r").select("n", (F.col("_s") + F.col("_b")).alias("lf"))

@@ -24,6 +24,13 @@ def apply_edits(edges: DataFrame, coo: DataFrame, edits: DataFrame) -> DataFrame
     return base.join(e, ["parent", "child", "col_id"], "full").where("op IS NULL OR op <> 'remove'").select("child", "col_id", F.coalesce("nv", "value").alias("value")).where("value > 0")
 
 
+def apply_set_edits(edges: DataFrame, coo: DataFrame, edits: DataFrame) -> DataFrame:
+    """The children's members (child, col_id): the parents' without those removed, and those added."""
+    base = edges.join(coo.withColumnRenamed("row_id", "parent"), "parent").select("parent", "child", "col_id")
+    e = edits.where("op <> 'update'").select("parent", "child", "col_id", "op")
+    return base.join(e, ["parent", "child", "col_id"], "full").where("op IS NULL OR op = 'add'").select("child", "col_id")
+
+
 def symbol_cost(v: Column, codec: str = "arithmetic") -> Column:
     """Bytes of a symbol: 1 for 0, else a sixth of its bits; or 1 to 4 by magnitude."""
     if codec == "stream-vbyte":
@@ -63,12 +70,34 @@ def delta_cost(edges: DataFrame, edits: DataFrame, codec: str = "arithmetic") ->
     return edges.join(s, ["parent", "child"], "left").select("parent", "child", F.coalesce("n", F.lit(0)).cast("long").alias("edits"), (F.coalesce("c", F.lit(0)) + 4).cast("long").alias("delta_cost"))
 
 
+def falls_back(edits: Column, nnz: Column, ratio: float | None) -> Column:
+    """Whether there are more edits than ``ratio`` times the child's entries (any, if it has none); never without a ratio."""
+    return F.lit(False) if ratio is None else F.when(nnz == 0, edits > 0).otherwise(edits > nnz * F.lit(ratio))
+
+
+def encoding_weights(pairs: DataFrame, coo: DataFrame, ratio: float | None = 1.0, codec: str = "arithmetic") -> DataFrame:
+    """``pairs`` (cluster_id, a, b) with ``weight``: what the cheaper direction costs, as edits or as a whole row. One join finds the
+    differences; removed and added entries change places in the other direction, so their gaps are the same."""
+    side = lambda n: pairs.join(coo.select(F.col("row_id").alias(n), "col_id", F.col("value").alias(f"v{n}")), n)
+    both = side("a").join(side("b"), ["cluster_id", "a", "b", "col_id"], "full")
+    op = F.when(F.col("vb").isNull(), "a").when(F.col("va").isNull(), "b").when(F.col("va") != F.col("vb"), "u")
+    e = gaps(both.withColumn("op", op).where("op IS NOT NULL"), ["cluster_id", "a", "b", "op"])
+    gap = symbol_cost(F.col("gap"), codec)
+    to = lambda n, gone: gap + F.when(F.col("op") == gone, 0).otherwise(symbol_cost(F.col(f"v{n}"), codec))
+    s = e.groupBy("cluster_id", "a", "b").agg(F.count("*").alias("n"), F.sum(to("b", "a")).alias("ab"), F.sum(to("a", "b")).alias("ba"))
+    own = list_cost(coo, ["row_id"], True, "full", codec).join(coo.groupBy("row_id").agg(F.count("*").alias("nnz")), "row_id")
+    has = lambda n: own.select(F.col("row_id").alias(n), F.col("full").alias(f"f{n}"), F.col("nnz").alias(f"n{n}"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cost = lambda c, n: F.when(falls_back(z("n"), z(f"n{n}"), ratio), z(f"f{n}") + 2).otherwise(z(c) + 4)
+    full = pairs.join(s, ["cluster_id", "a", "b"], "left").join(has("a"), "a", "left").join(has("b"), "b", "left")
+    return full.select("cluster_id", "a", "b", F.least(cost("ab", "b"), cost("ba", "a")).cast("long").alias("weight"))
+
+
 def row_modes(delta: DataFrame, full: DataFrame, nnz: DataFrame, ratio: float | None = 1.0) -> DataFrame:
     """mode 0 (edits of an earlier parent) unless there are more edits than ``ratio`` times the child's entries, else 1 (whole)."""
     rows = full.join(nnz, "row_id", "left").join(delta.withColumnRenamed("child", "row_id"), "row_id", "left")
     n = F.coalesce("nnz", F.lit(0))
-    fallback = F.lit(False) if ratio is None else (F.col("edits") > n * F.lit(ratio)) | ((F.col("edits") > 0) & (n == 0))
-    mode = F.when(F.col("parent").isNull() | fallback, 1).otherwise(0).cast("long")
+    mode = F.when(F.col("parent").isNull() | falls_back(F.col("edits"), n, ratio), 1).otherwise(0).cast("long")
     return rows.select("row_id", mode.alias("mode")).join(rows, "row_id").select("row_id", "mode", F.when(F.col("mode") == 0, F.col("delta_cost")).otherwise(F.col("full_cost")).alias("cost"))
 
 
@@ -122,3 +151,26 @@ def adaptive_templates(costs: DataFrame, base: DataFrame, dictionary: DataFrame,
     total = per_k.join(d, [group, "k"]).select(group, F.col("k").cast("long").alias("k"), (F.col("items") + F.col("dict")).alias("total")).unionByName(none)
     r = Window.partitionBy(group).orderBy("total", "k")
     return total.withColumn("_r", F.row_number().over(r)).where("_r = 1").select(group, "k", F.col("total").cast("long").alias("total"))
+
+
+def row_template_costs(templates: DataFrame, rows: DataFrame, coo: DataFrame, group: str, codec: str = "arithmetic") -> tuple[DataFrame, DataFrame]:
+    """What each row costs as edits of each template of its group (group, item, template_id, cost), and each template's own cost (group, template_id,
+    cost). ``templates``: (group, template_id, row_id), ``rows``: (group, row_id)."""
+    words = templates.select(group, "template_id", F.col("row_id").alias("parent"))
+    edges = words.join(rows.select(group, F.col("row_id").alias("child")), group)
+    pairs = edges.select("parent", "child").distinct()
+    delta = delta_cost(pairs, row_edits(pairs, coo), codec)
+    cost = (F.col("delta_cost") + symbol_cost(F.col("template_id"), codec)).cast("long")
+    costs = edges.join(delta, ["parent", "child"]).select(group, F.col("child").alias("item"), "template_id", cost.alias("cost"))
+    own = words.join(list_cost(coo, ["row_id"], True, "_c", codec).withColumnRenamed("row_id", "parent"), "parent")
+    return costs, own.select(group, "template_id", (F.col("_c") + 1).alias("cost"))
+
+
+def template_modes(base: DataFrame, costs: DataFrame, dictionary: DataFrame, group: str) -> DataFrame:
+    """(group, item, mode, template_id, cost): mode 2 where one of the adaptively many templates is strictly cheaper than ``base``
+    (group, item, mode, cost), the first of the cheapest."""
+    k = adaptive_templates(costs, base, dictionary, group).select(group, "k")
+    best = costs.join(k, group).where("template_id < k").groupBy(group, "item").agg(F.min(F.struct(F.col("cost").alias("c"), F.col("template_id").alias("t"))).alias("b"))
+    x = base.join(best, [group, "item"], "left")
+    better = F.coalesce(F.col("b.c") < F.col("cost"), F.lit(False))
+    return x.select(group, "item", F.when(better, 2).otherwise(F.col("mode")).cast("long").alias("mode"), F.when(better, F.col("b.t")).cast("long").alias("template_id"), F.when(better, F.col("b.c")).otherwise(F.col("cost")).cast("long").alias("cost"))

@@ -69,3 +69,10 @@ def parents(tree: DataFrame, rows: DataFrame) -> DataFrame:
         return pd.DataFrame({"cluster_id": key[0], "row_id": list(parent), "parent": list(parent.values())})
 
     return tree.groupBy("cluster_id").cogroup(rows.select("cluster_id", "row_id").groupBy("cluster_id")).applyInPandas(walk, "cluster_id long, row_id long, parent long")
+
+
+def parent_offsets(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """(cluster_id, row_id, offset): how many places before a row its parent is; 0 for roots and where the parent comes later."""
+    at = placed.select("row_id", "pos")
+    both = found.join(at, "row_id").join(at.select(F.col("row_id").alias("parent"), F.col("pos").alias("there")), "parent")
+    return both.select("cluster_id", "row_id", F.greatest(F.col("pos") - F.col("there"), F.lit(0)).cast("long").alias("offset"))

@@ -24,8 +24,8 @@ def drop_zeros(coo: DataFrame) -> DataFrame:
 
 
 def project(coo: DataFrame, block: DataFrame) -> DataFrame:
-    """Columns of a block (col_id, new_id), renumbered; others go."""
-    return coo.join(block, "col_id").select("row_id", F.col("new_id").alias("col_id"), "value")
+    """Columns of a block (col_id, new_id), renumbered; others go. Further columns of ``block`` stay, so many blocks can be projected at once."""
+    return coo.join(block, "col_id").select(*[c for c in block.columns if c not in ("col_id", "new_id")], "row_id", F.col("new_id").alias("col_id"), "value")
 
 
 def row_form(coo: DataFrame, row: str = "row_id", col: str = "col_id") -> DataFrame:
@@ -53,7 +53,8 @@ def entropy_bits(hist: DataFrame) -> DataFrame:
 
 def laplace(hist: DataFrame) -> DataFrame:
     """Counts plus one over every symbol from 0 to the largest."""
-    alphabet = hist.agg(F.max("symbol").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("symbol"))
+    most = hist.agg(F.max("symbol")).first()[0]
+    alphabet = hist.sparkSession.range(0 if most is None else most + 1).select(F.col("id").alias("symbol"))
     return alphabet.join(hist, "symbol", "left").select("symbol", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("n"))
 
 
@@ -67,13 +68,21 @@ def stride_sample(values: DataFrame, order: list[str], most: int) -> DataFrame:
     return numbered(values, order).where((F.col("idx") % max(1, -(-n // most))) == 0)
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with idx, the place of each row in ``order`` from 0: counted per range, then offset by the ranges before."""
+def numbered(df: DataFrame, order: list, total: str | None = None) -> DataFrame:
+    """``df`` with idx, the place of each row in ``order`` from 0 (and, if named, the ``total``): counted per range, then offset by the ranges before."""
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     parts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = parts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_o")
+    offsets = parts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_t", F.sum("_n").over(Window.partitionBy())).select("_p", "_o", "_t")
     w = Window.partitionBy("_p").orderBy(*order)
-    return ranged.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), "_p").withColumn("idx", (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_p", "_o", "_r")
+    return ranged.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), "_p").withColumn("idx", (F.col("_o") + F.col("_r") - 1).cast("long")).withColumn(total or "_t", F.col("_t")).drop("_p", "_o", "_r", *([] if total == "_t" else ["_t"]))
+
+
+def equal_shares(df: DataFrame, order: list, k: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the number of each row's share of k shares of consecutive rows, the first ones larger by one where sizes differ."""
+    size = F.floor(F.col("_total") / k)
+    larger = (size + 1) * (F.col("_total") % k)  # rows in shares that are larger by one
+    share = F.when(F.col("idx") < larger, F.floor(F.col("idx") / (size + 1))).otherwise(F.floor(F.try_divide(F.col("idx") - larger, size)) + F.col("_total") % k)
+    return numbered(df, order, "_total").withColumn(name, share.cast("long")).drop("idx", "_total")
 
 
 def log_moments(coo: DataFrame, n_rows: int) -> DataFrame:

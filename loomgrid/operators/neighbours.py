@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -52,8 +52,13 @@ def neighbour_points(df: DataFrame, mode: str) -> tuple[DataFrame, str]:
     return df.select("id", vec.alias("vec")), "l0" if mode == "expression-l0" else "l2"
 
 
-def labels(test: str, pca: bool = False) -> list[str]:
-    return [f"{m}{'_pca' if pca else ''}_{test}" for m in ("spatial", "spatialL0", "exprL2", "exprL0")]
+#: Names of the neighbour modes in labels.
+MODE_LABELS = {"spatial": "spatial", "spatial-l0": "spatialL0", "expression": "exprL2", "expression-l0": "exprL0"}
+
+
+def label(mode: str, test: str, pca: bool = False) -> str:
+    """``test``: perm or utest."""
+    return f"{MODE_LABELS[mode]}{'_pca' if pca else ''}_{test}"
 
 
 #: Which metrics each neighbour mode tests, on expression unless named xy; on raw values and on scores.
@@ -104,28 +109,66 @@ def preview(near: DataFrame, points: DataFrame, expr: DataFrame) -> DataFrame:
     return with_distance(xy, expr, metrics.l0).withColumnRenamed("d", "expr_l0").select("anchor", "rank", "nbr", "xy_l2", "expr_l0")
 
 
-def permutation_test(points: DataFrame, near: DataFrame, k: int, perms: int, distance, seed: str = "42") -> DataFrame:
-    """(anchor, observed, p): p = (#{random mean <= observed} + 1) / (perms + 1); 1 where nothing is left to draw."""
+def permutation_test(points: DataFrame, near: DataFrame, k: int, perms: int, distance, seed: str = "42", draws: bool = False) -> DataFrame:
+    """(anchor, observed, p): p = (#{random mean <= observed} + 1) / (perms + 1); 1 where nothing is left to draw. With ``draws`` the random means, too."""
     observed = with_distance(near.select("anchor", "nbr"), points, distance).groupBy("anchor").agg(F.round(F.avg("d"), 6).alias("observed"))
     drawn = with_distance(random_partners(points, near, k, perms, seed), points, distance).groupBy("anchor", "perm").agg(F.round(F.avg("d"), 6).alias("m"))
-    both = observed.join(drawn, "anchor", "left").groupBy("anchor", "observed").agg(F.count_if(F.col("m") <= F.col("observed") + 1e-12).alias("low"), F.count("m").alias("n"))
-    return both.select("anchor", "observed", F.round((F.col("low") + 1) / (F.col("n") + 1), 9).alias("p"))
+    means = [F.transform(F.sort_array(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("perm", "m")))), lambda x: x["m"]).alias("draws")] if draws else []
+    both = observed.join(drawn, "anchor", "left").groupBy("anchor", "observed").agg(F.count_if(F.col("m") <= F.col("observed") + 1e-12).alias("low"), F.count("m").alias("n"), *means)
+    return both.select("anchor", "observed", F.round((F.col("low") + 1) / (F.col("n") + 1), 9).alias("p"), *(["draws"] if draws else []))
+
+
+def mode_distances(df: DataFrame, k: int, mode: str, pca: bool = False) -> dict[str, DataFrame]:
+    """For each metric that a neighbour mode tests, (anchor, nbr, d) of the k nearest. ``df``: (id, x, y, expr), expr the scores for ``pca``."""
+    points, metric = neighbour_points(df, mode)
+    near = knn(points, k, metric).select("anchor", "nbr")
+    expr, xy = df.select("id", F.col("expr").alias("vec")), df.select("id", F.array("x", "y").alias("vec"))
+    how = {"cosine": (expr, metrics.cosine), "l2": (expr, metrics.l2), "l0": (expr, metrics.l0), "xy": (xy, metrics.l2)}
+    return {m: with_distance(near, *how[m]) for m in MODE_METRICS[mode][pca]}
+
+
+#: A rational approximation of the error function, good to 1.5e-7.
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function."""
+    x = F.abs(z) / F.lit(2.0**0.5)
+    t = 1 / (1 + F.lit(ERF_P) * x)
+    poly = F.lit(0.0)
+    for a in reversed(ERF_A):
+        poly = (poly + F.lit(a)) * t
+    tail = poly * F.exp(-x * x) / 2
+    return F.when(z < 0, tail).otherwise(1 - tail)
 
 
 def rank_sum(samples: DataFrame, key: str) -> DataFrame:
-    """(key, u, z) of x against y: ``samples`` (key, side in 'x' and 'y', v). Average ranks; normal approximation with ties."""
-    w = Window.partitionBy(key)
-    ranked = samples.withColumn("r", F.rank().over(w.orderBy("v")) + (F.count("*").over(Window.partitionBy(key, "v")) - 1) / 2.0).withColumn("t", F.count("*").over(Window.partitionBy(key, "v")))
+    """(key, u, z, p) of x against y: ``samples`` (key, side in 'x' and 'y', v). Average ranks; p of the left tail by the normal approximation with
+    ties and without continuity correction, null where all values tie. Keys with an empty side have no row; null values don't count. Only distinct values are put in order."""
     x = F.col("side") == "x"
-    s = ranked.groupBy(key).agg(F.sum(F.when(x, F.col("r"))).alias("r1"), F.count_if(x).alias("n1"), F.count_if(~x).alias("n2"), F.sum((F.col("t") * F.col("t") - 1).cast("double")).alias("ties"))
-    n = F.col("n1") + F.col("n2")
+    d = samples.where("v IS NOT NULL").groupBy(key, "v").agg(F.count("*").alias("t"), F.count_if(x).alias("tx"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = F.col("t").cast("double")
+    s = d.withColumn("r", before + (t + 1) / 2).groupBy(key).agg(F.sum(F.col("tx") * F.col("r")).alias("r1"), F.sum("tx").alias("n1"), F.sum(F.col("t") - F.col("tx")).alias("n2"), F.sum(t * (t * t - 1)).alias("ties"))
+    n = (F.col("n1") + F.col("n2")).cast("double")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    var = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
-    return s.where("n1 > 0 AND n2 > 0").select(key, F.round(u, 4).alias("u"), F.round(F.try_divide(u - F.col("n1") * F.col("n2") / 2, F.sqrt(var)), 6).alias("z"))
+    var = F.col("n1").cast("double") * F.col("n2") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
+    z = F.try_divide(u - F.col("n1").cast("double") * F.col("n2") / 2, F.sqrt(var))
+    return s.where("n1 > 0 AND n2 > 0").select(key, F.round(u, 4).alias("u"), F.round(z, 6).alias("z"), F.round(normal_cdf(z), 6).alias("p"))
+
+
+def neighbour_rank_sum(points: DataFrame, near: DataFrame, k: int, distance, seed: str = "42") -> DataFrame:
+    """(anchor, u, p, obs, rand): each anchor's distances to its neighbours against those to as many random others; u and p are null if a side is empty."""
+    obs = with_distance(near.select("anchor", "nbr"), points, distance).select("anchor", F.lit("x").alias("side"), F.col("d").alias("v"))
+    rand = with_distance(random_partners(points, near, k, 1, seed).select("anchor", "nbr"), points, distance).select("anchor", F.lit("y").alias("side"), F.col("d").alias("v"))
+    both = obs.unionByName(rand)
+    held = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("v"))))
+    return both.groupBy("anchor").agg(held("x").alias("obs"), held("y").alias("rand")).join(rank_sum(both, "anchor"), "anchor", "left").select("anchor", "u", "p", "obs", "rand")
 
 
 def pca(points: DataFrame, k: int) -> DataFrame:
-    """(id, scores) by power iteration with deflation on the covariance, which is one distributed sum; ``vec`` is centred already."""
+    """(id, scores) on the leading eigenvectors of the covariance, which is one distributed sum; ``vec`` is centred already. The vectors' signs are those
+    of their product with a fixed vector."""
     dim = points.select(F.size("vec")).first()[0]
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,22 +180,10 @@ def pca(points: DataFrame, k: int) -> DataFrame:
         yield pd.DataFrame({"i": np.arange(dim), "row": list(total)})
 
     rows = points.select("vec").mapInPandas(gram, "i int, row array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("row")[j]) for j in range(dim)]).alias("row")).orderBy("i").collect()
-    c, out = np.array([r.row for r in rows]), []
-    for _ in range(min(k, dim)):
-        v = (np.arange(dim) * 7 + 13) % 97 * 1.0
-        v /= np.linalg.norm(v)
-        for _ in range(300):
-            n = c @ v
-            size = np.linalg.norm(n)
-            if size < 1e-15:
-                break
-            n, last = n / size, v
-            v = n
-            if np.linalg.norm(v - last) < 1e-10:
-                break
-        out.append(v)
-        p = np.eye(dim) - np.outer(v, v)
-        c = p @ c @ p
+    values, vectors = np.linalg.eigh(np.array([r.row for r in rows]))
+    v = vectors[:, np.argsort(-values, kind="stable")[: min(k, dim)]]
+    start = (np.arange(dim) * 7 + 13) % 97  # fixed values: components point to this side
+    out = (v * np.where(start @ v < 0, -1.0, 1.0)).T
     score = lambda v: F.round(metrics._sum(F.col("vec"), F.array(*[F.lit(float(x)) for x in v]), lambda a, b: a * b), 6)
     return points.select("id", F.array(*[score(v) for v in out]).alias("scores"))
 

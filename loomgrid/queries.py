@@ -99,9 +99,10 @@ def matrix_summary(spark, sf):
     return matrix.summary(items(spark, sf))
 
 
-@query(f"WITH {COO}, p AS (SELECT pos, 1 + (pos * 7) % 10 AS row_id FROM range(15) AS r(pos)) SELECT pos AS row_id, col_id, value FROM p JOIN coo USING (row_id)")
+@query(f"WITH {COO}, p AS (SELECT CAST(s_suppkey AS BIGINT) AS pos, CAST(s_nationkey + 1 AS BIGINT) AS row_id FROM supplier) SELECT pos AS row_id, col_id, value FROM p JOIN coo USING (row_id)")
 def subset_rows(spark, sf):
-    return tables.subset_rows(items(spark, sf), spark.range(15).select(F.col("id").alias("pos"), (1 + F.col("id") * 7 % 10).alias("row_id")))
+    picks = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("pos"), (F.col("s_nationkey") + 1).cast("long").alias("row_id"))
+    return tables.subset_rows(items(spark, sf), picks)
 
 
 @query(f"WITH {COO} SELECT row_id, string_agg(col_id || ':' || value, ',' ORDER BY col_id) AS entries FROM coo GROUP BY 1")
@@ -110,11 +111,12 @@ def row_form(spark, sf):
     return matrix.row_form(items(spark, sf)).select("row_id", e.alias("entries"))
 
 
-@query(f"WITH {COO}, b AS (SELECT col_id, row_number() OVER (ORDER BY col_id DESC) - 1 AS new_id FROM (SELECT DISTINCT col_id FROM coo WHERE col_id % 3 = 0)) SELECT row_id, new_id AS col_id, value FROM coo JOIN b USING (col_id)")
+@query(f"WITH {COO}, b AS (SELECT col_id, CAST(ntile(5) OVER (ORDER BY col_id) - 1 AS BIGINT) AS block_id FROM (SELECT DISTINCT col_id FROM coo)), l AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY col_id DESC) - 1 AS new_id FROM b) SELECT block_id, row_id, new_id AS col_id, value FROM coo JOIN l USING (col_id)")
 def project_columns(spark, sf):
+    """Each block in turn, its columns from the last to the first."""
     coo = items(spark, sf)
-    block = matrix.numbered(coo.where("col_id % 3 = 0").select("col_id").distinct().withColumn("_k", -F.col("col_id")), ["_k"]).select("col_id", F.col("idx").alias("new_id"))
-    return matrix.project(coo, block)
+    at = (F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("col_id"))) - 1).cast("long")
+    return matrix.project(coo, order.column_blocks(coo.select("col_id").distinct(), 5, ["col_id"]).withColumn("new_id", at))
 
 
 @query(f"WITH {COO}, s AS (SELECT row_id, s_name AS barcode FROM (SELECT DISTINCT row_id FROM coo) JOIN supplier ON s_suppkey = row_id) SELECT row_id, barcode, s_acctbal AS x, CAST(s_nationkey AS DOUBLE) AS y FROM s JOIN supplier ON s_name = barcode")
@@ -217,9 +219,10 @@ def window_cheapest_parent(spark, sf):
     return graph.cheapest_parent(payload.weighed_pairs(placed(coo), coo, 8))
 
 
-@query("SELECT CAST(i AS BIGINT) AS id, round({w}, 9) AS weight FROM range(2000) AS r(i)".replace("{w}", order.weights_sql("i", order.COLUMN_SEEDS[0])))
+@query("SELECT id, round({w}, 9) AS weight FROM (SELECT CAST(p_partkey AS BIGINT) AS id FROM part)".replace("{w}", order.weights_sql("id", order.COLUMN_SEEDS[0])))
 def projection_weight(spark, sf):
-    return spark.range(2000).select("id", F.round(order.projection_weight(F.col("id"), order.COLUMN_SEEDS[0]), 9).alias("weight"))
+    ids = read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    return ids.select("id", F.round(order.projection_weight(F.col("id"), order.COLUMN_SEEDS[0]), 9).alias("weight"))
 
 
 @query(f"WITH {COO}, st AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM (SELECT DISTINCT row_id FROM coo)), w AS (SELECT row_id, pos, {', '.join(f'{order.weights_sql("pos", s)} AS w{i}' for i, s in enumerate(order.COLUMN_SEEDS))} FROM st), s AS (SELECT col_id, {', '.join(f'round(avg(w{i}), 9) AS s{i}' for i in range(4))}, avg(pos) AS mp, count(*) AS n FROM coo JOIN w USING (row_id) GROUP BY 1) SELECT col_id, row_number() OVER (ORDER BY s0, s1, s2, s3, mp, n DESC, col_id) - 1 AS new_id FROM s")
@@ -264,10 +267,17 @@ def apply_edits_roundtrip(spark, sf):
     return edits.apply_edits(e, coo, edits.row_edits(e, coo))
 
 
-@query(f"SELECT CAST(v AS BIGINT) AS v, CAST({_SYM('v')} AS BIGINT) AS arithmetic, CAST(CASE WHEN v <= 255 THEN 1 WHEN v <= 65535 THEN 2 WHEN v <= 16777215 THEN 3 ELSE 4 END AS BIGINT) AS vbyte FROM (SELECT i * i * 37 AS v FROM range(3000) AS r(i))")
+@query(f"WITH {EVENTS}, {EDGES} SELECT child, col_id FROM ed JOIN coo ON row_id = child")
+def apply_set_edits_roundtrip(spark, sf):
+    coo = events(spark, sf)
+    e = chain(coo)
+    return edits.apply_set_edits(e, coo, edits.row_edits(e, coo))
+
+
+@query(f"SELECT v, CAST({_SYM('v')} AS BIGINT) AS arithmetic, CAST(CASE WHEN v <= 255 THEN 1 WHEN v <= 65535 THEN 2 WHEN v <= 16777215 THEN 3 ELSE 4 END AS BIGINT) AS vbyte FROM (SELECT DISTINCT CAST((l_partkey - 1) * l_linenumber * l_suppkey AS BIGINT) AS v FROM lineitem)")
 def symbol_cost(spark, sf):
-    v = (F.col("id") * F.col("id") * 37).alias("v")
-    return spark.range(3000).select(v).select("v", edits.symbol_cost(F.col("v")).cast("long").alias("arithmetic"), edits.symbol_cost(F.col("v"), "stream-vbyte").cast("long").alias("vbyte"))
+    v = ((F.col("l_partkey") - 1) * F.col("l_linenumber") * F.col("l_suppkey")).cast("long").alias("v")
+    return read(spark, sf, "lineitem").select(v).distinct().select("v", edits.symbol_cost(F.col("v")).cast("long").alias("arithmetic"), edits.symbol_cost(F.col("v"), "stream-vbyte").cast("long").alias("vbyte"))
 
 
 GAPS = "g AS (SELECT *, col_id - coalesce(lag(col_id) OVER (PARTITION BY row_id ORDER BY col_id), 0) AS gap FROM coo)"
@@ -296,55 +306,131 @@ def zigzag_gaps(spark, sf):
     return edits.gaps(items(spark, sf), ["row_id"]).select("row_id", "col_id", "gap", edits.zigzag(F.col("gap") - F.col("value")).alias("zigzag"))
 
 
-@query("SELECT n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY k) AS picks FROM (VALUES (1, 1, 0), (2, 1, 1), (2, 2, 0), (9, 1, 4), (9, 2, 2), (9, 3, 6), (9, 4, 1), (9, 5, 3), (100, 1, 50), (100, 2, 25), (100, 3, 74), (100, 4, 12), (100, 5, 37)) AS v(n, k, p) GROUP BY n")
+_DYADIC = """dy AS (SELECT n, place, row_number() OVER (PARTITION BY n ORDER BY o) - 1 AS template_id FROM (SELECT n, CAST(floor((n - 1) * (2 * j + 1) / pow(2, d) + 0.5) AS BIGINT) AS place, min(pow(2, d) + j) AS o
+FROM (SELECT DISTINCT size AS n FROM sizes), range(1, 9) AS r(d), range(128) AS q(j) WHERE 2 * j + 1 < pow(2, d) GROUP BY 1, 2))"""
+_RANKED = """w AS (SELECT member, {w0} AS w0, {w1} AS w1 FROM (SELECT DISTINCT member FROM tg)), sc AS (SELECT grp, item, round(sum({f} * w0), 6) AS s0, round(sum({f} * w1), 6) AS s1, count(*) AS n FROM tg JOIN w USING (member) GROUP BY ALL),
+rk AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY s0, s1, n, item) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM sc), sizes AS (SELECT size FROM rk), {dy}, cand AS (SELECT grp, template_id, item FROM rk JOIN dy ON size = dy.n AND rk.place = dy.place WHERE template_id < {most})"""
+
+
+def _candidates(seeds: tuple[int, int], weighted: bool, most: int) -> str:
+    return _RANKED.format(w0=order.weights_sql("member", seeds[0]), w1=order.weights_sql("member", seeds[1]), f="ln(1 + value)" if weighted else "1", dy=_DYADIC, most=most)
+
+
+@query(f"WITH {COO}, sizes AS (SELECT count(*) AS size FROM coo GROUP BY row_id), {_DYADIC} SELECT n, string_agg(place, ',' ORDER BY template_id) AS picks FROM dy WHERE template_id < 5 GROUP BY n")
 def dyadic_positions(spark, sf):
-    rows = [(n, ",".join(map(str, edits.dyadic_positions(n, 5)))) for n in (1, 2, 9, 100)]
-    return spark.createDataFrame(rows, "n int, picks string")
-
-
-@query(f"""WITH {EVENTS}, bl AS (SELECT col_id, ntile(5) OVER (ORDER BY col_id) AS bl FROM (SELECT DISTINCT col_id FROM coo)),
-rf AS (SELECT col_id AS child, lag(col_id) OVER (PARTITION BY bl ORDER BY col_id) AS parent FROM bl),
-rg AS (SELECT col_id, row_id - coalesce(lag(row_id) OVER (PARTITION BY col_id ORDER BY row_id), 0) AS gap FROM coo),
-raw AS (SELECT col_id, sum({_SYM('gap')}) AS raw FROM rg GROUP BY 1),
-x AS (SELECT child, row_id FROM rf JOIN coo ON col_id = parent), y AS (SELECT child, row_id FROM rf JOIN coo ON col_id = child WHERE parent IS NOT NULL),
-op AS (SELECT child, row_id, 'r' AS op FROM x WHERE NOT EXISTS (FROM y WHERE y.child = x.child AND y.row_id = x.row_id) UNION ALL SELECT child, row_id, 'a' FROM y WHERE NOT EXISTS (FROM x WHERE y.child = x.child AND y.row_id = x.row_id)),
-og AS (SELECT child, row_id - coalesce(lag(row_id) OVER (PARTITION BY child, op ORDER BY row_id), 0) AS gap FROM op),
-oc AS (SELECT child, sum({_SYM('gap')}) AS c FROM og GROUP BY 1),
-m AS (SELECT col_id, raw, CASE WHEN parent IS NOT NULL THEN 1 + coalesce(c, 0) + 2 END AS ref FROM raw JOIN rf ON rf.child = col_id LEFT JOIN oc ON oc.child = col_id)
-SELECT col_id, CAST(coalesce(ref < raw, false) AS BIGINT) AS mode, CAST(CASE WHEN ref < raw THEN ref ELSE raw END AS BIGINT) AS cost FROM m""")
+    """Of as many items as a row has entries."""
+    sizes = matrix.stats(items(spark, sf), "row_id").select(F.col("nnz").alias("n")).distinct()
+    pick = F.udf(lambda n: ",".join(map(str, edits.dyadic_positions(n, 5))), "string", useArrow=True)  # a row for each distinct size
+    return sizes.select("n", pick("n").alias("picks"))
+
+
+_TREE = """own AS (SELECT row_id, count(*) AS n FROM coo GROUP BY 1), sh AS (SELECT a, b, count(*) AS i FROM pr JOIN coo x ON x.row_id = a JOIN coo y ON y.row_id = b AND x.col_id = y.col_id GROUP BY 1, 2),
+wt AS (SELECT pr.cluster_id, a, b, CAST(p.n + q.n - 2 * coalesce(i, 0) AS BIGINT) AS weight FROM pr LEFT JOIN sh USING (a, b) JOIN own p ON p.row_id = a JOIN own q ON q.row_id = b)"""
+#: Spanning trees edge by edge: a list of component labels by place grows one edge at a time.
+_KRUSKAL = """eo AS (SELECT wt.*, x.pos AS pa, y.pos AS pb, row_number() OVER (PARTITION BY wt.cluster_id ORDER BY weight, a, b) AS k FROM wt JOIN pl x ON x.row_id = a AND x.cluster_id = wt.cluster_id JOIN pl y ON y.row_id = b AND y.cluster_id = wt.cluster_id),
+kr AS (SELECT cluster_id, CAST(0 AS BIGINT) AS k, CAST(range(count(*)) AS BIGINT[]) AS l, false AS taken, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS weight FROM pl GROUP BY 1
+UNION ALL SELECT eo.cluster_id, eo.k, list_transform(kr.l, lambda x: CASE WHEN x = greatest(kr.l[pa + 1], kr.l[pb + 1]) THEN least(kr.l[pa + 1], kr.l[pb + 1]) ELSE x END), kr.l[pa + 1] <> kr.l[pb + 1], eo.a, eo.b, eo.weight FROM kr JOIN eo ON eo.cluster_id = kr.cluster_id AND eo.k = kr.k + 1),
+tr AS (SELECT cluster_id, a, b, weight FROM kr WHERE taken)"""
+_PARENTS = """ad AS (SELECT cluster_id, a AS x, b AS y FROM ct UNION ALL SELECT cluster_id, b, a FROM ct),
+rc AS (SELECT cluster_id, row_id AS x, row_id AS y FROM pl UNION SELECT rc.cluster_id, rc.x, ad.y FROM rc JOIN ad ON ad.cluster_id = rc.cluster_id AND ad.x = rc.y),
+pa AS (SELECT cluster_id, x AS row_id, x AS parent FROM rc GROUP BY 1, 2 HAVING min(y) = x UNION ALL SELECT ad.cluster_id, ad.y, ad.x FROM pa JOIN ad ON ad.cluster_id = pa.cluster_id AND ad.x = pa.row_id WHERE ad.y <> pa.parent)"""
+_CUT = "md AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight, a, b) AS r, count(*) OVER (PARTITION BY cluster_id) AS c FROM tr), ct AS (SELECT t.* FROM tr t JOIN md ON md.cluster_id = t.cluster_id AND md.r = md.c // 2 + 1 WHERE t.weight <= ceil(md.weight * 1.1))"
+
+_PAIR_OPS = """x AS (SELECT pairs.*, id, v FROM pairs JOIN base ON base.item = pairs.p), y AS (SELECT pairs.*, id, v FROM pairs JOIN base ON base.item = pairs.c),
+op AS (SELECT coalesce(x.p, y.p) AS p, coalesce(x.c, y.c) AS c, coalesce(x.id, y.id) AS id, y.v AS v, CASE WHEN y.v IS NULL THEN 'r' WHEN x.v IS NULL THEN 'a' ELSE 'u' END AS op FROM x FULL JOIN y ON x.p = y.p AND x.c = y.c AND x.id = y.id WHERE x.v IS NULL OR y.v IS NULL OR x.v <> y.v),
+og AS (SELECT *, id - coalesce(lag(id) OVER (PARTITION BY p, c, op ORDER BY id), 0) AS gap FROM op)"""
+
+_BLOCKS = "bl AS (SELECT col_id, CAST(ntile(5) OVER (ORDER BY col_id) - 1 AS BIGINT) AS block_id FROM (SELECT DISTINCT col_id FROM m))"
+#: Events' columns as rows, in blocks as clusters.
+_TURNED = f"{EVENTS.replace('coo AS', 'm AS')}, {_BLOCKS}, coo AS (SELECT col_id AS row_id, row_id AS col_id, value FROM m), pl AS (SELECT col_id AS row_id, block_id AS cluster_id, row_number() OVER (PARTITION BY block_id ORDER BY col_id) - 1 AS pos FROM bl), pr AS (SELECT a.cluster_id, a.row_id AS a, b.row_id AS b FROM pl a JOIN pl b ON a.cluster_id = b.cluster_id AND b.pos - a.pos BETWEEN 1 AND 8)"
+_REFS = f"{_TURNED}, {_TREE}, {_KRUSKAL}, ct AS (SELECT * FROM tr), {_PARENTS}, rf AS (SELECT pa.row_id AS c, pa.parent AS p, q.pos - o.pos AS delta FROM pa JOIN pl o ON o.row_id = pa.row_id JOIN pl q ON q.row_id = pa.parent WHERE pa.row_id <> pa.parent)"
+_REF_COST = f"""base AS (SELECT row_id AS item, col_id AS id, 1 AS v FROM coo), pairs AS (SELECT p, c FROM rf), {_PAIR_OPS}, oc AS (SELECT c, sum({_SYM('gap')}) AS cost FROM og GROUP BY 1),
+rw AS (SELECT row_id AS item, sum({_SYM('gap')}) AS raw FROM (SELECT row_id, col_id - coalesce(lag(col_id) OVER (PARTITION BY row_id ORDER BY col_id), 0) AS gap FROM coo) GROUP BY 1),
+rr AS (SELECT rf.c AS item, {_SYM('(CASE WHEN delta >= 0 THEN 2 * delta ELSE -2 * delta - 1 END)')} + coalesce(cost, 0) + 2 AS ref FROM rf LEFT JOIN oc ON oc.c = rf.c)"""
+
+
+def event_blocks(coo: DataFrame) -> DataFrame:
+    return order.column_blocks(coo.select("col_id").distinct(), 5, ["col_id"])
+
+
+@query(f"WITH RECURSIVE {_REFS} SELECT c AS col_id, p AS parent, delta AS \"offset\" FROM rf")
+def column_references(spark, sf):
+    coo = events(spark, sf)
+    return payload.column_references(event_blocks(coo), coo, 8)
+
+
+@query(f"WITH RECURSIVE {_REFS}, {_REF_COST} SELECT item AS col_id, CAST(coalesce(ref < raw, false) AS BIGINT) AS mode, CAST(CASE WHEN ref < raw THEN ref ELSE raw END AS BIGINT) AS cost FROM rw LEFT JOIN rr USING (item)")
 def column_ref_mode(spark, sf):
     coo = events(spark, sf)
-    block = order.column_blocks(coo.select("col_id").distinct(), 5, ["col_id"])
-    before = F.lag("col_id").over(Window.partitionBy("block_id").orderBy("col_id"))
-    refs = block.select("col_id", before.alias("parent"), F.lit(-1).cast("long").alias("offset")).where("parent IS NOT NULL")
-    return edits.column_modes(coo, refs)
+    return edits.column_modes(coo, payload.column_references(event_blocks(coo), coo, 8))
 
 
-@query()
+@query(f"WITH {COO}, {CLUSTERS}, tg AS (SELECT cluster_id AS grp, row_id AS item, col_id AS member, value FROM coo JOIN cl USING (row_id)), {_candidates(order.TEMPLATE_SEEDS, True, 16)} SELECT grp AS cluster_id, template_id, item AS row_id FROM cand")
 def template_candidates(spark, sf):
     coo = items(spark, sf)
     tagged = coo.join(clusters(coo), "row_id")
     return edits.template_candidates(tagged, "cluster_id", "row_id", "col_id", order.TEMPLATE_SEEDS, 16, True)
 
 
-@query()
+@query(f"WITH {COO.replace('coo AS', 'm AS')}, {_BLOCKS}, tg AS (SELECT block_id AS grp, col_id AS item, row_id AS member, value FROM m JOIN bl USING (col_id)), {_candidates(order.SUPPORT_SEEDS, False, 32)} SELECT grp AS block_id, template_id, item AS col_id FROM cand")
 def support_template_candidates(spark, sf):
     coo = items(spark, sf)
     tagged = coo.join(order.column_blocks(coo.select("col_id").distinct(), 5, ["col_id"]), "col_id")
     return edits.template_candidates(tagged, "block_id", "col_id", "row_id", order.SUPPORT_SEEDS, 32, False)
 
 
-@query(f"""WITH {EVENTS}, {GAPS}, {CLUSTERS}, fc AS (SELECT row_id, CAST(sum({_SYM('gap')} + {_SYM('value')}) + 2 AS BIGINT) AS cost FROM g GROUP BY 1),
-b AS (SELECT cluster_id, row_id AS item, cost FROM cl JOIN fc USING (row_id)), c AS (SELECT cluster_id, item, t AS template_id, 3 + (item * (t + 5)) % 90 AS cost FROM b, range(6) AS r(t)),
-m AS (SELECT c.cluster_id, c.item, template_id + 1 AS k, least(min(c.cost) OVER (PARTITION BY c.cluster_id, c.item ORDER BY template_id), b.cost) AS m FROM c JOIN b USING (cluster_id, item)),
-t AS (SELECT cluster_id, k, CAST(sum(m) + 20 * k AS BIGINT) AS total FROM m GROUP BY 1, 2 UNION ALL SELECT cluster_id, 0, CAST(sum(cost) AS BIGINT) FROM b GROUP BY 1)
-SELECT cluster_id, k, total FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY total, k) AS r FROM t) WHERE r = 1""")
+_ROW_COSTS = f"""{EVENTS}, {PLACED}, {GAPS}, tg AS (SELECT cluster_id AS grp, row_id AS item, col_id AS member, value FROM coo JOIN cl USING (row_id)), {_candidates(order.TEMPLATE_SEEDS, True, 16)},
+base AS (SELECT row_id AS item, col_id AS id, value AS v FROM coo), wd AS (SELECT row_id AS item, sum({_SYM('gap')} + {_SYM('value')}) AS c, count(*) AS nnz FROM g GROUP BY 1),
+lk AS (SELECT a.row_id AS p, b.row_id AS c FROM pl a JOIN pl b ON a.cluster_id = b.cluster_id AND b.pos = a.pos + 1), pairs AS (SELECT p, c FROM lk UNION SELECT cand.item, pl.row_id FROM cand JOIN pl ON cluster_id = grp), {_PAIR_OPS},
+dc AS (SELECT p, c, count(*) AS n, sum({_SYM('gap')} + CASE WHEN op = 'r' THEN 0 ELSE {_SYM('v')} END) AS cost FROM og GROUP BY 1, 2),
+dl AS (SELECT pairs.p, pairs.c, coalesce(n, 0) AS n, coalesce(cost, 0) + 4 AS cost FROM pairs LEFT JOIN dc USING (p, c)),
+bs AS (SELECT cluster_id, row_id AS item, CASE WHEN lk.p IS NULL OR dl.n > nnz THEN 1 ELSE 0 END AS mode, CAST(CASE WHEN lk.p IS NULL OR dl.n > nnz THEN wd.c + 2 ELSE dl.cost END AS BIGINT) AS cost FROM pl JOIN wd ON wd.item = pl.row_id LEFT JOIN lk ON lk.c = pl.row_id LEFT JOIN dl ON dl.p = lk.p AND dl.c = pl.row_id),
+tc AS (SELECT grp AS cluster_id, pl.row_id AS item, template_id, CAST(dl.cost + {_SYM('template_id')} AS BIGINT) AS cost FROM cand JOIN pl ON cluster_id = grp JOIN dl ON dl.p = cand.item AND dl.c = pl.row_id),
+ms AS (SELECT tc.cluster_id, tc.item, template_id + 1 AS k, least(min(tc.cost) OVER (PARTITION BY tc.cluster_id, tc.item ORDER BY template_id), bs.cost) AS m FROM tc JOIN bs USING (cluster_id, item)),
+di AS (SELECT grp AS cluster_id, template_id + 1 AS k, sum(c + 1) OVER (PARTITION BY grp ORDER BY template_id) AS d FROM cand JOIN wd USING (item)),
+tt AS (SELECT cluster_id, k, CAST(sum(m) + any_value(d) AS BIGINT) AS total FROM ms JOIN di USING (cluster_id, k) GROUP BY 1, 2 UNION ALL SELECT cluster_id, 0, CAST(sum(cost) AS BIGINT) FROM bs GROUP BY 1),
+bk AS (SELECT cluster_id, k, total FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY total, k) AS r FROM tt) WHERE r = 1)"""
+
+
+def template_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Costs without templates, with each template, and of the templates, of event rows that may refer to the row before."""
+    coo = events(spark, sf_dir)
+    cl = clusters(coo)
+    base = payload.parent_modes(coo, cl, chain(coo).select(F.col("child").alias("row_id"), "parent")).join(cl, "row_id").withColumnRenamed("row_id", "item")
+    words = edits.template_candidates(coo.join(cl, "row_id"), "cluster_id", "row_id", "col_id", order.TEMPLATE_SEEDS, 16, True)
+    costs, dictionary = edits.row_template_costs(words, cl, coo, "cluster_id")
+    return base, costs, dictionary
+
+
+@query(f"WITH {_ROW_COSTS} SELECT cluster_id, k, total FROM bk")
 def adaptive_template_k(spark, sf):
+    base, costs, dictionary = template_tables(spark, sf)
+    return edits.adaptive_templates(costs, base, dictionary, "cluster_id")
+
+
+@query(f"""WITH {_ROW_COSTS}, bt AS (SELECT tc.cluster_id, item, min(cost) AS cost, arg_min(template_id, (cost, template_id)) AS template_id FROM tc JOIN bk USING (cluster_id) WHERE template_id < k GROUP BY 1, 2)
+SELECT cluster_id, item, CASE WHEN bt.cost < bs.cost THEN 2 ELSE mode END AS mode, CASE WHEN bt.cost < bs.cost THEN template_id END AS template_id, coalesce(least(bt.cost, bs.cost), bs.cost) AS cost FROM bs LEFT JOIN bt USING (cluster_id, item)""")
+def row_template_mode(spark, sf):
+    return edits.template_modes(*template_tables(spark, sf), "cluster_id")
+
+
+@query(f"""WITH {EVENTS}, {PAIRS}, {GAPS}, base AS (SELECT row_id AS item, col_id AS id, value AS v FROM coo), wd AS (SELECT row_id AS item, sum({_SYM('gap')} + {_SYM('value')}) + 2 AS c, count(*) AS nnz FROM g GROUP BY 1),
+pairs AS (SELECT a AS p, b AS c FROM pr UNION ALL SELECT b, a FROM pr), {_PAIR_OPS}, dc AS (SELECT p, c, count(*) AS n, sum({_SYM('gap')} + CASE WHEN op = 'r' THEN 0 ELSE {_SYM('v')} END) AS cost FROM og GROUP BY 1, 2),
+cc AS (SELECT pairs.p, pairs.c, CASE WHEN coalesce(n, 0) > nnz THEN wd.c ELSE coalesce(cost, 0) + 4 END AS cost FROM pairs LEFT JOIN dc USING (p, c) JOIN wd ON wd.item = pairs.c)
+SELECT cluster_id, a, b, CAST(least(x.cost, y.cost) AS BIGINT) AS weight FROM pr JOIN cc x ON x.p = a AND x.c = b JOIN cc y ON y.p = b AND y.c = a""")
+def encoding_weights(spark, sf):
     coo = events(spark, sf)
-    base = edits.full_cost(coo.select("row_id").distinct(), coo).join(clusters(coo), "row_id").select("cluster_id", F.col("row_id").alias("item"), F.col("full_cost").alias("cost"))
-    costs = base.withColumn("template_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).withColumn("cost", 3 + F.col("item") * (F.col("template_id") + 5) % 90)
-    words = costs.select("cluster_id", "template_id").distinct().withColumn("cost", F.lit(20))
-    return edits.adaptive_templates(costs, base, words, "cluster_id")
+    return payload.weighed_pairs(placed(coo), coo, 8, "encoding")
+
+
+@query(f"WITH {COO}, h AS (SELECT row_id, value, count(*) AS c FROM coo GROUP BY 1, 2), t AS (SELECT row_id, sum(c) AS n, max(value) AS m, sum(c * log2(c + 1)) AS s FROM h GROUP BY 1) SELECT row_id, CAST(4 * ceil(round(n * log2(n + m + 1) - s, 6) / 32) + 4 * (m + 1) + 8 AS BIGINT) AS size FROM t")
+def arithmetic_size(spark, sf):
+    return codecs.arithmetic_size(items(spark, sf), ["row_id"], "value")
+
+
+@query(f"WITH {COO}, {GAPS}, h AS (SELECT row_id, gap, count(*) AS c FROM g GROUP BY 1, 2), t AS (SELECT row_id, sum(c) AS n, max(gap) AS m, sum(c * log2(c + 1)) AS s FROM h GROUP BY 1) SELECT row_id, CAST(4 * ceil(round(n * log2(n + m + 1) - s, 6) / 32) + 4 * (m + 1) + 24 AS BIGINT) AS size FROM t")
+def delta_size(spark, sf):
+    return codecs.delta_size(items(spark, sf), ["row_id"], "col_id")
 
 
 @query(f"WITH {COO}, s AS (SELECT row_id, count(*) AS n, max(col_id) AS m FROM coo GROUP BY 1), l AS (SELECT *, least(31, CAST(floor(log2(greatest(1, (m + 1) // n))) AS INT)) AS low FROM s) SELECT row_id, CAST(4 * n + 8 * ceil(((m >> low) + n + 1) / 64.0) + 17 AS BIGINT) AS size FROM l")
@@ -395,26 +481,47 @@ def joint_svd_clusters(spark, sf):
 
 @query()
 def svd_col_order(spark, sf):
-    return order.svd_order(items(spark, sf), 6, fast=True)[1]
+    return order.support_svd_order(items(spark, sf))
 
 
-@query()
+@query(f"WITH {COO}, {CLUSTERS} SELECT row_id, row_number() OVER (ORDER BY cluster_id, row_id) - 1 AS pos FROM cl")
+def row_stream(spark, sf):
+    coo = items(spark, sf)
+    return order.row_stream(order.covered(clusters(coo), coo))
+
+
+@query(f"WITH RECURSIVE {COO}, {PAIRS}, {_TREE}, {_KRUSKAL} SELECT cluster_id, count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight FROM tr GROUP BY 1")
 def mst_weight(spark, sf):
     coo = items(spark, sf)
     tree = graph.spanning_tree(payload.weighed_pairs(placed(coo), coo, 8))
     return tree.groupBy("cluster_id").agg(F.count("*").alias("edges"), F.sum("weight").cast("long").alias("weight"))
 
 
-@query()
-def forest_parents(spark, sf):
-    coo = items(spark, sf)
+def forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    coo = items(spark, sf_dir)
     p = placed(coo)
-    return graph.parents(graph.spanning_tree(payload.weighed_pairs(p, coo, 8), cut=1.1), p)
+    return graph.parents(graph.spanning_tree(payload.weighed_pairs(p, coo, 8), cut=1.1), p), p
+
+
+@query(f"WITH RECURSIVE {COO}, {PAIRS}, {_TREE}, {_KRUSKAL}, {_CUT}, {_PARENTS} SELECT cluster_id, row_id, parent FROM pa")
+def forest_parents(spark, sf):
+    return forest(spark, sf)[0]
+
+
+@query(f"WITH RECURSIVE {COO}, {PAIRS}, {_TREE}, {_KRUSKAL}, {_CUT}, {_PARENTS} SELECT pa.cluster_id, pa.row_id, CAST(greatest(c.pos - p.pos, 0) AS BIGINT) AS \"offset\" FROM pa JOIN pl c ON c.row_id = pa.row_id JOIN pl p ON p.row_id = pa.parent")
+def parent_offsets(spark, sf):
+    return graph.parent_offsets(*forest(spark, sf))
 
 
 @query()
 def encode_tiles(spark, sf):
-    return payload.encode(payload.tiles(items(spark, sf))).select("cluster_id", "block_id", "kind", "bytes", "parents", "wholes")
+    return payload.encode(payload.tiles(items(spark, sf))).drop("streams", "symbols")
+
+
+@query()
+def encode_adaptive(spark, sf):
+    cfg = payload.EncodeConfig(adaptive=True, weight="encoding", forest_cut=1.5)
+    return payload.encode(payload.tiles(events(spark, sf), cfg), cfg).drop("streams", "symbols")
 
 
 @query()
@@ -423,15 +530,38 @@ def encode_report(spark, sf):
     return payload.report(payload.encode(payload.tiles(coo)), coo)
 
 
+@query()
+def build_stats(spark, sf):
+    coo = items(spark, sf)
+    s = matrix.summary(coo).first()
+    return payload.build_stats(payload.encode(payload.tiles(coo)), coo, s.n_rows * s.n_cols, payload.stats_label(f"{sf}/lineitem/part"))
+
+
+def roundtrip(coo: DataFrame, cfg: payload.EncodeConfig = payload.EncodeConfig()) -> DataFrame:
+    tiled = payload.tiles(coo, cfg)
+    return payload.decode(payload.encode(tiled, cfg), payload.encode_maps(tiled), cfg)
+
+
 @query(f"WITH {COO} SELECT * FROM coo")
 def decode_roundtrip(spark, sf):
-    tiled = payload.tiles(items(spark, sf))
-    return payload.decode(payload.encode(tiled), tiled)
+    return roundtrip(items(spark, sf))
+
+
+@query(f"WITH {EVENTS} SELECT * FROM coo")
+def decode_adaptive(spark, sf):
+    return roundtrip(events(spark, sf), payload.EncodeConfig(adaptive=True, weight="encoding", index_codec="stream-vbyte"))
 
 
-@query(f"WITH {COO}, r AS (SELECT string_agg(value, ',' ORDER BY value) AS v FROM coo GROUP BY row_id), c AS (SELECT string_agg(value, ',' ORDER BY value) AS v FROM coo GROUP BY col_id) SELECT 'row' AS side, md5(v) AS vals, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'column', md5(v), count(*) FROM c GROUP BY ALL")
+@query(f"WITH {COO}, {CLUSTERS}, {QUANT}, b AS (SELECT cluster_id, value, center, row_number() OVER (PARTITION BY cluster_id, value ORDER BY abs(value - center), center) AS k FROM (SELECT DISTINCT cluster_id, value FROM a) JOIN ce USING (cluster_id)) SELECT row_id, col_id, center AS value FROM a JOIN b USING (cluster_id, value) WHERE k = 1")
+def lossy_roundtrip(spark, sf):
+    return roundtrip(items(spark, sf), payload.EncodeConfig(lossy_bins=2))
+
+
+@query("WITH " + COO + "".join(f""", {s} AS (SELECT string_agg(value, ',' ORDER BY value) AS v FROM (SELECT CAST({k} AS BIGINT) AS id FROM {t}) LEFT JOIN coo ON {c} = id GROUP BY id)""" for s, k, t, c in (("r", "s_suppkey", "supplier", "row_id"), ("c", "p_partkey", "part", "col_id"))) + " SELECT 'row' AS side, md5(coalesce(v, '')) AS vals, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'column', md5(coalesce(v, '')), count(*) FROM c GROUP BY ALL")
 def verify_fingerprints(spark, sf):
-    return payload.fingerprints(items(spark, sf)).withColumn("side", F.when(F.col("side") == "row", "row").otherwise("column"))
+    rows = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("row_id"))
+    cols = read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("col_id"))
+    return payload.fingerprints(items(spark, sf), rows, cols)
 
 
 @query(f"WITH {COO}, u AS (SELECT count(DISTINCT col_id) AS u FROM coo), lf AS (SELECT n, sum(log2(n)) OVER (ORDER BY n) AS lf FROM range(1, (SELECT u + 1 FROM u)) AS r(n)), s AS (SELECT row_id, count(*) AS nnz FROM coo GROUP BY 1) SELECT row_id, nnz, round((SELECT lf FROM lf, u WHERE n = u) - coalesce(a.lf, 0) - coalesce(b.lf, 0), 4) AS bits FROM s CROSS JOIN u LEFT JOIN lf a ON a.n = nnz LEFT JOIN lf b ON b.n = u - nnz")
@@ -504,14 +634,36 @@ def permutation_pvalues(spark, sf):
     return neighbours.permutation_test(p, neighbours.knn(p, 8), 8, 10, metrics.l2)
 
 
-@query("""WITH s AS (SELECT l_returnflag AS k, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'y' END AS side, l_quantity AS v FROM lineitem),
-r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS r FROM s),
-g AS (SELECT k, sum(CASE WHEN side = 'x' THEN r END) AS r1, count(*) FILTER (WHERE side = 'x') AS n1, count(*) FILTER (WHERE side = 'y') AS n2 FROM r GROUP BY 1)
-SELECT k, round(r1 - n1 * (n1 + 1) / 2, 4) AS u FROM g WHERE n1 > 0 AND n2 > 0""")
+_CDF = f"CASE WHEN z < 0 THEN tl ELSE 1 - tl END AS cdf FROM (SELECT *, ({'(' * 5}0{''.join(f' + {a}) * tt' for a in reversed(neighbours.ERF_A))}) * exp(-z * z / 2) / 2 AS tl FROM (SELECT *, 1 / (1 + {neighbours.ERF_P} * abs(z) / sqrt(2)) AS tt FROM zz))"
+
+
+@query(f"""WITH s AS (SELECT l_returnflag AS k, CASE WHEN l_linestatus = 'O' THEN 'x' ELSE 'y' END AS side, l_quantity AS v FROM lineitem),
+d AS (SELECT k, v, count(*) AS t, count(*) FILTER (WHERE side = 'x') AS tx FROM s GROUP BY 1, 2), r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY k ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS r FROM d),
+g AS (SELECT k, CAST(sum(tx * r) AS DOUBLE) AS r1, CAST(sum(tx) AS DOUBLE) AS n1, CAST(sum(t - tx) AS DOUBLE) AS n2, CAST(sum(CAST(t AS DOUBLE) * t * t - t) AS DOUBLE) AS ties FROM r GROUP BY 1),
+zz AS (SELECT k, r1 - n1 * (n1 + 1) / 2 AS u, (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM g WHERE n1 > 0 AND n2 > 0)
+SELECT k, round(u, 4) AS u, round(z, 6) AS z, round(cdf, 6) AS p FROM (SELECT k, u, z, {_CDF})""")
 def rank_sum_u(spark, sf):
     li = read(spark, sf, "lineitem")
     s = li.select(F.col("l_returnflag").alias("k"), F.when(F.col("l_linestatus") == "O", "x").otherwise("y").alias("side"), F.col("l_quantity").alias("v"))
-    return neighbours.rank_sum(s, "k").select("k", "u")
+    return neighbours.rank_sum(s, "k")
+
+
+_MODE_SQL = {"cosine": "round(1 - list_cosine_similarity(a.v, b.v), 6)", "l2": _L2.format(a="a.v", b="b.v"), "l0": _L0, "xy": "round(sqrt((a.v[1] - b.v[1]) * (a.v[1] - b.v[1]) + (a.v[2] - b.v[2]) * (a.v[2] - b.v[2])), 6)"}
+_MODE_NEAR = {"spatial": _MODE_SQL["xy"], "spatial-l0": _MODE_SQL["xy"], "expression": _MODE_SQL["l2"], "expression-l0": _L0}
+
+
+@query(f"WITH {_E}, " + ", ".join(_NEAR.format(d=d, x="e").replace("nn AS", f"n{i} AS") for i, d in enumerate(_MODE_NEAR.values())) + " " + " UNION ALL ".join(
+    f"SELECT '{neighbours.label(mode, 'perm')}' AS label, '{m}' AS metric, anchor, round(avg({_MODE_SQL[m]}), 4) AS observed FROM n{i} JOIN e a ON a.id = anchor JOIN e b ON b.id = nbr GROUP BY anchor"
+    for i, mode in enumerate(_MODE_NEAR) for m in neighbours.MODE_METRICS[mode][0]))
+def mode_metrics(spark, sf):
+    """Mean observed distances of each neighbour mode by each metric that it tests."""
+    df = points(spark, sf).select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("vec").alias("expr"))
+    out = None
+    for mode in neighbours.MODE_METRICS:
+        for m, d in neighbours.mode_distances(df, 8, mode).items():
+            one = d.groupBy("anchor").agg(F.round(F.avg("d"), 4).alias("observed")).select(F.lit(neighbours.label(mode, "perm")).alias("label"), F.lit(m).alias("metric"), "anchor", "observed")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
@@ -537,7 +689,14 @@ def bh_adjust(spark, sf):
     return a.groupBy("dataset", "kind", "p").agg(F.round(F.max("q"), 9).alias("q"), F.count("*").alias("n")).withColumn("p", F.round("p", 9))
 
 
-@query(f"WITH {P}, {BH} SELECT dataset, kind, count(*) FILTER (WHERE q < 0.05) || '/' || count(*) AS hits, printf('%.2f', 100.0 * count(*) FILTER (WHERE q < 0.05) / count(*)) AS rate FROM q GROUP BY 1, 2")
+@query(f"WITH {P}, {BH} SELECT dataset, kind, count(*) FILTER (WHERE q < 0.05) || '/' || count(*) AS hits, printf('%.2f', count(*) FILTER (WHERE q < 0.05) / count(*)) AS rate FROM q GROUP BY 1, 2")
 def bh_summary(spark, sf):
     s = neighbours.significant(neighbours.benjamini_hochberg(p_values(spark, sf), ["dataset", "kind"]), ["dataset", "kind"])
-    return s.select("dataset", "kind", F.format_string("%d/%d", "significant", "total").alias("hits"), F.format_string("%.2f", 100.0 * F.col("significant") / F.col("total")).alias("rate"))
+    return s.select("dataset", "kind", F.format_string("%d/%d", "significant", "total").alias("hits"), F.format_string("%.2f", F.col("significant") / F.col("total")).alias("rate"))
+
+
+@query(f"""WITH {P}, {BH}, h AS (SELECT dataset, CASE WHEN kind = 'O' THEN 'spatial' ELSE 'exprs' END AS kind, count(*) FILTER (WHERE q < 0.05) AS s, count(*) AS t FROM q GROUP BY 1, 2)
+SELECT dataset AS filename, coalesce(max(CASE WHEN kind = 'spatial' THEN s || '/' || t END), '') AS spatial_l0, coalesce(max(CASE WHEN kind = 'spatial' THEN printf('%.2f', s / t) END), '') AS "spatial_l0 rate", coalesce(max(CASE WHEN kind = 'exprs' THEN s || '/' || t END), '') AS exprs_l0 FROM h GROUP BY 1""")
+def summary_table(spark, sf):
+    s = neighbours.significant(neighbours.benjamini_hochberg(p_values(spark, sf), ["dataset", "kind"]), ["dataset", "kind"])
+    return tables.summary_table(s.withColumn("kind", F.when(F.col("kind") == "O", "spatial").otherwise("exprs")))
