@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,9 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 #: Ids that are sent to every executor (8 bytes each); beyond it tables are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _LEFT: set[str] = set()
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes that an Arrow function gets at once, and of a row group of intermediate tables: both are held whole for each running task.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Jobs inside give Arrow functions at most ``BATCH_BYTES``, and ``rows`` rows if named, at once."""
+    held = {k: spark.conf.get(k) for k in (_BATCH, _BYTES)}
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
+    if rows is not None:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None, batch: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors. ``by``: a column to
     partition its files by; ``batch``: rows that Arrow functions get at once, where rows are large. ``drop`` removes it; tables that are left (results may still read them) go when the driver ends."""
@@ -59,14 +76,9 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd",
     if not _LEFT:
         atexit.register(_clear, spark)
     _LEFT.add(path)
-    writer = df.write.option("compression", codec)
-    held = spark.conf.get(_BATCH)
-    if batch is not None:
-        spark.conf.set(_BATCH, str(batch))
-    try:
+    writer = df.write.option("compression", codec).option("parquet.block.size", GROUP_BYTES)
+    with batches(spark, batch):
         (writer if by is None else writer.partitionBy(by)).parquet(path)
-    finally:
-        spark.conf.set(_BATCH, held)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tidy, trim
+from .common import batches, table, tidy, trim
 
 UNKNOWN = "und"
 BUCKETS = 1 << 13
@@ -152,7 +152,8 @@ def fit_on(docs: DataFrame, per_language: int = 600, most: int = 6000, id: str =
 
     few = sampled(labelled, quota).select("_lang", "_at", "_text").mapInArrow(tidy(run), "_lang string, _at long, grams binary, x binary")
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_at"))  # of about twice the quota
-    rows = few.withColumn("_n", nth).where(F.col("_n") <= quota).orderBy("_lang", "_at").collect()
+    with batches(docs.sparkSession):
+        rows = few.withColumn("_n", nth).where(F.col("_n") <= quota).orderBy("_lang", "_at").collect()
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r.grams, "<u2")] = np.frombuffer(r.x, "<f4")

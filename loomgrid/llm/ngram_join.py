@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import drop, partitions, sized, table, tidy, trim, written
+from .common import batches, drop, partitions, sized, table, tidy, trim, written
 from .components import connected_components
 from .packed import mixed
 
@@ -251,7 +251,8 @@ def sample_plan(docs: DataFrame) -> Plan:
             sets = [shingles(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets if len(s) <= 5000], pa.binary())], names=["s"])
 
-    seen = few.select("text").mapInArrow(tidy(run), "s binary").limit(4 * SAMPLE).collect()
+    with batches(docs.sparkSession):
+        seen = few.select("text").mapInArrow(tidy(run), "s binary").limit(4 * SAMPLE).collect()
     plan = plan_of([np.frombuffer(r[0], np.uint64) for r in seen], docs.count())
     del seen
     trim()
