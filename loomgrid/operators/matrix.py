@@ -68,13 +68,21 @@ def stride_sample(values: DataFrame, order: list[str], most: int) -> DataFrame:
     return numbered(values, order).where((F.col("idx") % max(1, -(-n // most))) == 0)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over the shuffles of one run: whatever reads it finds the same rows in the same partitions. Ranges that are planned again, as
+    for a reader of fewer columns, are sampled anew and fall elsewhere."""
+    spark = df.sparkSession
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def numbered(df: DataFrame, order: list, total: str | None = None) -> DataFrame:
     """``df`` with idx, the place of each row in ``order`` from 0 (and, if named, the ``total``): counted per range, then offset by the ranges before."""
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    parts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    ranged = dealt(df.repartitionByRange(*order))
+    parts = ranged.groupBy(F.spark_partition_id().alias("_p")).agg(F.count("*").alias("_n"))
     offsets = parts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_t", F.sum("_n").over(Window.partitionBy())).select("_p", "_o", "_t")
-    w = Window.partitionBy("_p").orderBy(*order)
-    return ranged.withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), "_p").withColumn("idx", (F.col("_o") + F.col("_r") - 1).cast("long")).withColumn(total or "_t", F.col("_t")).drop("_p", "_o", "_r", *([] if total == "_t" else ["_t"]))
+    placed = ranged.sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())  # the partition, then 33 bits of the place in it
+    at = placed.withColumn("_p", F.shiftright("_m", 33).cast("int")).join(F.broadcast(offsets), "_p")
+    return at.withColumn("idx", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).withColumn(total or "_t", F.col("_t")).drop("_p", "_o", "_m", *([] if total == "_t" else ["_t"]))
 
 
 def equal_shares(df: DataFrame, order: list, k: int, name: str) -> DataFrame:

@@ -376,3 +376,14 @@ def test_orders_and_cover(spark):
     want = sorted(range(12), key=lambda c: (round(vt[c, 0], 9), round(vt[c, 1], 9), c))
     assert [r.col_id for r in order.support_svd_order(coo).orderBy("new_id").collect()] == want
     assert payload.fingerprints(coo, spark.range(32).withColumnRenamed("id", "row_id")).where("side = 'row'").agg(F.sum("n")).first()[0] == 32
+
+
+def test_places_hold_for_readers_of_fewer_columns(spark):
+    """Ranges are sampled; the counts and the rows must be of the same ranges."""
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("k"), F.col("id").cast("string").alias("rest"))
+    keys = sorted(i * 7919 % 100_003 for i in range(100_000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sorted((r.idx, r.k) for r in matrix.stride_sample(df, ["k"], 1000).collect()) == [(i, keys[i]) for i in range(0, 100_000, 100)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
