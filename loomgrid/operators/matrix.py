@@ -85,11 +85,13 @@ def numbered(df: DataFrame, order: list, total: str | None = None) -> DataFrame:
     return at.withColumn("idx", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).withColumn(total or "_t", F.col("_t")).drop("_p", "_o", "_m", *([] if total == "_t" else ["_t"]))
 
 
-def equal_shares(df: DataFrame, order: list, k: int, name: str) -> DataFrame:
-    """``df`` with ``name``: the number of each row's share of k shares of consecutive rows, the first ones larger by one where sizes differ."""
-    size = F.floor(F.col("_total") / k)
-    larger = (size + 1) * (F.col("_total") % k)  # rows in shares that are larger by one
-    share = F.when(F.col("idx") < larger, F.floor(F.col("idx") / (size + 1))).otherwise(F.floor(F.try_divide(F.col("idx") - larger, size)) + F.col("_total") % k)
+def equal_shares(df: DataFrame, order: list, k: int, name: str, most: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the number of each row's share of k shares of consecutive rows, the first ones larger by one where sizes differ.
+    Where shares would have more than ``most`` rows, there are the least multiple of k that keeps to it."""
+    parts = F.lit(k) if most is None else F.greatest(F.lit(1), F.ceil(F.col("_total") / (k * most))) * k
+    size = F.floor(F.col("_total") / parts)
+    larger = (size + 1) * (F.col("_total") % parts)  # rows in shares that are larger by one
+    share = F.when(F.col("idx") < larger, F.floor(F.col("idx") / (size + 1))).otherwise(F.floor(F.try_divide(F.col("idx") - larger, size)) + F.col("_total") % parts)
     return numbered(df, order, "_total").withColumn(name, share.cast("long")).drop("idx", "_total")
 
 

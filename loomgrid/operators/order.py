@@ -53,7 +53,18 @@ def round_robin(rows: DataFrame, k: int) -> DataFrame:
 
 def split_clusters(assign: DataFrame, most: int) -> DataFrame:
     """Clusters of at most ``most`` rows, numbered by their first row."""
-    part = F.floor((F.row_number().over(Window.partitionBy("cluster_id").orderBy("row_id")) - 1) / max(1, most))
+    return _split(assign, F.floor((F.row_number().over(Window.partitionBy("cluster_id").orderBy("row_id")) - 1) / max(1, most)))
+
+
+def split_by_entries(assign: DataFrame, coo: DataFrame, most: int) -> DataFrame:
+    """Clusters cut where a running count of their rows' entries passes a multiple of ``most``, numbered by their first row: each has at most
+    ``most`` entries and those of one row."""
+    sizes = assign.join(coo.groupBy("row_id").agg(F.count("*").alias("_n")), "row_id")
+    before = F.sum("_n").over(Window.partitionBy("cluster_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1))
+    return _split(sizes, F.floor(F.coalesce(before, F.lit(0)) / most))
+
+
+def _split(assign: DataFrame, part: Column) -> DataFrame:
     parts = assign.withColumn("_p", part)
     first = F.min("row_id").over(Window.partitionBy("cluster_id", "_p"))
     parts = parts.withColumn("_f", first)
@@ -66,8 +77,8 @@ def positions_in(assign: DataFrame) -> DataFrame:
     return assign.withColumn("pos", (F.row_number().over(Window.partitionBy("cluster_id").orderBy("row_id")) - 1).cast("long"))
 
 
-def column_blocks(columns: DataFrame, blocks: int, order: list[str]) -> DataFrame:
-    return equal_shares(columns, order, max(1, blocks), "block_id")
+def column_blocks(columns: DataFrame, blocks: int, order: list[str], most: int | None = None) -> DataFrame:
+    return equal_shares(columns, order, max(1, blocks), "block_id", most)
 
 
 def row_stream(assign: DataFrame) -> DataFrame:

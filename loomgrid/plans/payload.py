@@ -11,13 +11,15 @@ from .tile import CATEGORIES, MODES, TILE, EncodeConfig, decode_tile, encode_til
 
 
 def tiles(coo: DataFrame, cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
-    """Triples with cluster_id, pos, block_id, the block's local column, and the tile's height and width; values are quantised by cluster if ``lossy_bins`` is set."""
+    """Triples with cluster_id, pos, block_id, the block's local column, and the tile's height and width; values are quantised by cluster if ``lossy_bins`` is set.
+    Clusters and blocks too large for a task are tiled in parts."""
     rows = coo.select("row_id").distinct()
     assign = order.equal_cuts(rows, cfg.cell_blocks, ["row_id"])
     if cfg.max_cluster:
         assign = order.split_clusters(assign, cfg.max_cluster)
-    placed = order.positions_in(assign).withColumn("height", F.count("*").over(Window.partitionBy("cluster_id")))
-    blocks = order.column_blocks(coo.select("col_id").distinct(), cfg.gene_blocks, ["col_id"])
+    cut = order.split_by_entries(assign, coo, cfg.tile_entries)  # for the tiles alone: values are quantised by whole clusters
+    placed = order.positions_in(cut).withColumn("height", F.count("*").over(Window.partitionBy("cluster_id")))
+    blocks = order.column_blocks(coo.select("col_id").distinct(), cfg.gene_blocks, ["col_id"], cfg.tile_columns)
     by = Window.partitionBy("block_id")
     local = blocks.select("col_id", "block_id", (F.row_number().over(by.orderBy("col_id")) - 1).cast("long").alias("local"), F.count("*").over(by).alias("width"))
     if cfg.lossy_bins:
@@ -26,7 +28,7 @@ def tiles(coo: DataFrame, cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
 
 
 def encode(tiled: DataFrame, cfg: EncodeConfig = EncodeConfig()) -> DataFrame:
-    return tiled.groupBy("cluster_id", "block_id").applyInPandas(lambda df: encode_tile(df, cfg), TILE)
+    return tiled.drop("row_id", "col_id").groupBy("cluster_id", "block_id").applyInPandas(lambda df: encode_tile(df, cfg), TILE)
 
 
 def encode_maps(tiled: DataFrame) -> DataFrame:

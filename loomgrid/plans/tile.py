@@ -18,7 +18,8 @@ from ..operators.order import GOLDEN, SUPPORT_SEEDS, TEMPLATE_SEEDS, mix64
 @dataclass(frozen=True)
 class EncodeConfig:
     """``ratio``: edits for each entry beyond which a row is written whole (None: never for that reason). ``weight``: spanning trees by
-    ``metric`` or by encoding cost. Row templates are used in adaptive mode alone; ``column_templates`` without it."""
+    ``metric`` or by encoding cost. Row templates are used in adaptive mode alone; ``column_templates`` without it. ``tile_entries`` and
+    ``tile_columns`` bound what the task of a tile holds: blocks of more columns, and clusters of more entries, are tiled in parts."""
 
     cell_blocks: int = 6
     gene_blocks: int = 5
@@ -39,6 +40,8 @@ class EncodeConfig:
     columns: bool = True
     prefer_columns: bool = False
     lossy_bins: int | None = None
+    tile_entries: int = 400_000
+    tile_columns: int = 16_384
 
 
 #: The byte category of each stream, by form.

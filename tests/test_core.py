@@ -387,3 +387,15 @@ def test_places_hold_for_readers_of_fewer_columns(spark):
         assert sorted((r.idx, r.k) for r in matrix.stride_sample(df, ["k"], 1000).collect()) == [(i, keys[i]) for i in range(0, 100_000, 100)]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_large_tiles_are_cut(spark):
+    """A tile's task holds no more than its bounds, however large the matrix; quantising is by whole clusters all the same."""
+    coo = spark.createDataFrame(random_matrix(40, 60, 0.5), COO)
+    for bins in (None, 2):
+        cfg = payload.EncodeConfig(cell_blocks=2, gene_blocks=2, lossy_bins=bins, tile_entries=120, tile_columns=20)
+        tiled = payload.tiles(coo, cfg)
+        most, width, parts = tiled.groupBy("cluster_id", "block_id").agg(F.count("*").alias("n"), F.max("width").alias("w")).agg(F.max("n"), F.max("w"), F.count("*")).first()
+        assert most <= 120 + 20 and width == 15 and parts > 4
+        whole = payload.EncodeConfig(cell_blocks=2, gene_blocks=2, lossy_bins=bins)
+        assert payload.same(queries.roundtrip(coo, cfg), queries.roundtrip(coo, whole))
