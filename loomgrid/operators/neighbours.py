@@ -11,39 +11,86 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
-from .matrix import numbered
-
-
-def knn(points: DataFrame, k: int, metric: str = "l2", block: int = 2048) -> DataFrame:
+from .matrix import dealt, numbered
+
+
+#: Numbers of a block of distances, and of the coordinates of the pairs that are measured exactly, at once.
+AT_ONCE = 1 << 19
+#: Bytes of points that go to every executor, and ids; beyond it joins shuffle.
+BROADCAST, BROADCAST_IDS = 64 << 20, 1_000_000
+
+
+def least(d: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that at least ``k`` of its numbers keep to, and few others: the k-th least of the minima of groups of them."""
+    n = d.shape[1]
+    if n < k:
+        return np.full(len(d), np.inf)
+    groups = min(n, 16 * k)
+    minima = d[:, : n // groups * groups].reshape(len(d), -1, groups).min(1)
+    return np.partition(minima, k - 1, axis=1)[:, k - 1]
+
+
+def nearest(u: np.ndarray, v: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of u, row of v, distance) of the k nearest rows of v for each of u but those of its own id, ties by place. ``ids``, of v, are in order.
+
+    A matrix product bounds the distances; only pairs within the bound are measured."""
+    found, n = [], len(v)
+    first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+    if metric == "l0":
+        p, q = (u > 0).astype(float), (v > 0).astype(float)
+        p = np.c_[-2.0 * n * p, n * p.sum(1), np.ones(len(p))]
+        q = np.c_[q, np.ones(n), n * q.sum(1) + np.arange(n)].T  # a product is the distance times n and the place: no ties
+        slack = np.zeros(len(u))
+    else:
+        of_u, of_v = (u * u).sum(1), (v * v).sum(1)
+        p, q = np.c_[-2.0 * u, of_u, np.ones(len(u))], np.c_[v, np.ones(n), of_v].T
+        slack = (of_u + of_v.max()) * (4.0 * (u.shape[1] + 4) * np.finfo(float).eps)  # the product's rounding
+    for at in range(0, len(u), rows := max(1, AT_ONCE // n)):
+        d = p[at : at + rows] @ q
+        for i in np.flatnonzero(first[at : at + rows] < last[at : at + rows]):
+            d[i, first[at + i] : last[at + i]] = np.inf
+        most = least(d, k)
+        if metric != "l0":  # distances are compared to six places
+            most = (np.sqrt(np.maximum(most + slack[at : at + rows], 0)) + 1.01e-6) ** 2 + slack[at : at + rows]
+        i, j = np.nonzero((d <= most[:, None]) & (d < np.inf))
+        if metric == "l0":
+            far = np.floor(d[i, j] / n)
+        else:
+            far, step = np.empty(len(i)), max(1, AT_ONCE // u.shape[1])
+            for x in range(0, len(i), step):
+                a, b = i[x : x + step], j[x : x + step]
+                far[x : x + step] = np.round(np.sqrt(((u[at + a] - v[b]) ** 2).sum(-1)), 6)
+        order = np.lexsort((j, far, i))
+        i, j, far = i[order], j[order], far[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((at + i[rank < k], j[rank < k], far[rank < k]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def knn(points: DataFrame, k: int, metric: str = "l2", block: int = 8192) -> DataFrame:
     """(anchor, rank, nbr, dist): the k nearest others, ties by id. ``points``: (id, vec). Blocks of points meet block by block;
-    each task keeps only the k best of its block for each anchor."""
+    each task keeps only the k best of its block for each anchor. They are found once, whoever reads them."""
     blocks = max(1, -(-points.count() // block))
     side = lambda name: points.select(F.col("id").alias(name), F.col("vec").alias(f"v_{name}"))
     a = side("anchor").withColumn("i", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     b = side("nbr").withColumn("j", F.pmod(F.xxhash64("nbr"), F.lit(blocks))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"anchor": [], "nbr": [], "dist": []}).astype({"anchor": "int64", "nbr": "int64", "dist": "float64"})
         if x.empty or y.empty:
-            return pd.DataFrame({"anchor": [], "nbr": [], "dist": []}).astype({"anchor": "int64", "nbr": "int64", "dist": "float64"})
+            return none
         y = y.sort_values("nbr")
         u, v = np.stack(x.v_anchor.to_list()).astype(float), np.stack(y.v_nbr.to_list()).astype(float)
-        out = []
-        for at in range(0, len(u), 256):
-            part = u[at : at + 256]
-            if metric == "l0":
-                d = ((part[:, None, :] > 0) != (v[None] > 0)).sum(-1).astype(float)
-            else:
-                d = np.round(np.sqrt(((part[:, None, :] - v[None]) ** 2).sum(-1)), 6)
-            d[x.anchor.to_numpy()[at : at + 256, None] == y.nbr.to_numpy()[None]] = np.inf
-            pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), pick.shape[1])
-            out.append(pd.DataFrame({"anchor": x.anchor.to_numpy()[at : at + 256][rows], "nbr": y.nbr.to_numpy()[pick.ravel()], "dist": d[rows, pick.ravel()]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found.dist)]
+        fine = [np.isfinite(w).all(1) if metric != "l0" else np.ones(len(w), bool) for w in (u, v)]  # others are at no distance from any
+        own, ids, u, v = x.anchor.to_numpy()[fine[0]], y.nbr.to_numpy()[fine[1]], u[fine[0]], v[fine[1]]
+        if not len(u) or not len(v):
+            return none
+        i, j, d = nearest(u, v, own, ids, k, metric)
+        return pd.DataFrame({"anchor": own[i], "nbr": ids[j], "dist": d})
 
     near = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(lambda x, y: best(x, y), "anchor long, nbr long, dist double")
     w = Window.partitionBy("anchor").orderBy("dist", "nbr")
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("anchor", "rank", "nbr", "dist")
+    return dealt(near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("anchor", "rank", "nbr", "dist"))
 
 
 def neighbour_points(df: DataFrame, mode: str) -> tuple[DataFrame, str]:
@@ -89,15 +136,17 @@ def random_partners(points: DataFrame, near: DataFrame, k: int, perms: int, seed
     steps = min(prime, k + most + 1 + prime - n)  # at most so many are passed over
     h = F.md5(F.concat_ws("|", F.lit(seed), "anchor", "perm"))
     part = lambda start: F.conv(F.substring(h, start, 15), 16, 10).cast("long")
-    walks = near.select("anchor").distinct().withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(perms).cast("long"))))
-    walks = walks.select("anchor", "perm", (part(1) % prime).alias("start"), (part(17) % (prime - 1) + 1).alias("step"))
+    walks = near.groupBy("anchor").agg(F.collect_list("nbr").alias("held")).withColumn("perm", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(perms).cast("long"))))
+    walks = walks.select("anchor", "held", "perm", (part(1) % prime).alias("start"), (part(17) % (prime - 1) + 1).alias("step"))
     met = walks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")))).withColumn("at", (F.col("start") + F.col("step") * F.col("t")) % prime)
-    pool = met.join(ids, "at").where(F.col("nbr") != F.col("anchor")).join(near.select("anchor", "nbr"), ["anchor", "nbr"], "left_anti")
+    pool = met.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "at").where((F.col("nbr") != F.col("anchor")) & ~F.array_contains("held", F.col("nbr")))
     w = Window.partitionBy("anchor", "perm").orderBy("t")
     return pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("anchor", "perm", "nbr")
 
 
 def with_distance(pairs: DataFrame, points: DataFrame, distance) -> DataFrame:
+    size = points.agg(F.sum(F.size("vec"))).first()[0] or 0
+    points = F.broadcast(points) if 8 * size <= BROADCAST else points
     a = points.select(F.col("id").alias("anchor"), F.col("vec").alias("va"))
     b = points.select(F.col("id").alias("nbr"), F.col("vec").alias("vb"))
     return pairs.join(a, "anchor").join(b, "nbr").withColumn("d", F.round(distance(F.col("va"), F.col("vb")).cast("double"), 6)).drop("va", "vb")
@@ -118,10 +167,14 @@ def permutation_test(points: DataFrame, near: DataFrame, k: int, perms: int, dis
     return both.select("anchor", "observed", F.round((F.col("low") + 1) / (F.col("n") + 1), 9).alias("p"), *(["draws"] if draws else []))
 
 
-def mode_distances(df: DataFrame, k: int, mode: str, pca: bool = False) -> dict[str, DataFrame]:
-    """For each metric that a neighbour mode tests, (anchor, nbr, d) of the k nearest. ``df``: (id, x, y, expr), expr the scores for ``pca``."""
+def mode_distances(df: DataFrame, k: int, mode: str, pca: bool = False, found: dict | None = None) -> dict[str, DataFrame]:
+    """For each metric that a neighbour mode tests, (anchor, nbr, d) of the k nearest. ``df``: (id, x, y, expr), expr the scores for ``pca``.
+    ``found`` keeps neighbours for other modes of the same ``df`` and ``k``."""
     points, metric = neighbour_points(df, mode)
-    near = knn(points, k, metric).select("anchor", "nbr")
+    found, key = {} if found is None else found, (mode.startswith("spatial"), metric)
+    if key not in found:
+        found[key] = knn(points, k, metric).select("anchor", "nbr")
+    near = found[key]
     expr, xy = df.select("id", F.col("expr").alias("vec")), df.select("id", F.array("x", "y").alias("vec"))
     how = {"cosine": (expr, metrics.cosine), "l2": (expr, metrics.l2), "l0": (expr, metrics.l0), "xy": (xy, metrics.l2)}
     return {m: with_distance(near, *how[m]) for m in MODE_METRICS[mode][pca]}

@@ -399,3 +399,28 @@ def test_large_tiles_are_cut(spark):
         assert most <= 120 + 20 and width == 15 and parts > 4
         whole = payload.EncodeConfig(cell_blocks=2, gene_blocks=2, lossy_bins=bins)
         assert payload.same(queries.roundtrip(coo, cfg), queries.roundtrip(coo, whole))
+
+
+@pytest.mark.parametrize("metric", ["l2", "l0"])
+def test_neighbours_are_found_once_and_exactly(spark, metric, monkeypatch):
+    """Copies, ties, far offsets and points that aren't finite, in blocks that are measured in parts."""
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(90, 3)) * 2) + np.where(np.arange(90)[:, None] < 45, 0.0, 1e6)
+    v[20:32] = v[20]
+    v[70], v[71] = np.nan, np.inf
+    done = spark.sparkContext.accumulator(0)
+    inner = neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda *a: (done.add(1), inner(*a))[1])
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    near = neighbours.knn(p, 5, metric, block=30)
+    ours = {(r.anchor, r["rank"]): (r.nbr, r.dist) for r in near.collect()}
+    with np.errstate(invalid="ignore"):
+        d = ((v[:, None] > 0) != (v[None] > 0)).sum(-1).astype(float) if metric == "l0" else np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)), 6)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, k + 1): (int(j), d[i, j]) for i in range(90) for k, j in enumerate(np.argsort(d[i], kind="stable")[:5]) if np.isfinite(d[i, j])}
+    assert ours == want
+    assert neighbours.permutation_test(p, near, 5, 3, metrics.l2).count() == near.select("anchor").distinct().count() and done.value == 9
+    monkeypatch.setattr(neighbours, "AT_ONCE", 64)  # a few rows and pairs at a time
+    u, ids = np.delete(v, [70, 71], 0), np.delete(np.arange(90), [70, 71])
+    i, j, far = inner(u, u, ids, ids, 5, metric)
+    assert all(d[ids[a], ids[b]] == x for a, b, x in zip(i, j, far, strict=True)) and len(i) == 88 * 5
