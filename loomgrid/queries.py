@@ -658,9 +658,9 @@ _MODE_NEAR = {"spatial": _MODE_SQL["xy"], "spatial-l0": _MODE_SQL["xy"], "expres
 def mode_metrics(spark, sf):
     """Mean observed distances of each neighbour mode by each metric that it tests."""
     df = points(spark, sf).select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("vec").alias("expr"))
-    out = None
+    out, found = None, {}
     for mode in neighbours.MODE_METRICS:
-        for m, d in neighbours.mode_distances(df, 8, mode).items():
+        for m, d in neighbours.mode_distances(df, 8, mode, found=found).items():
             one = d.groupBy("anchor").agg(F.round(F.avg("d"), 4).alias("observed")).select(F.lit(neighbours.label(mode, "perm")).alias("label"), F.lit(m).alias("metric"), "anchor", "observed")
             out = one if out is None else out.unionByName(one)
     return out
