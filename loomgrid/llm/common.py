@@ -110,6 +110,12 @@ def trim() -> None:
         give(0)
 
 
+def rest(spark: SparkSession) -> None:
+    """The driver gives freed memory back: many small jobs leave plans and code that its heap keeps until it is full."""
+    trim()
+    spark._jvm.System.gc()
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """An Arrow function that trims at its end: Python workers outlive their tasks."""
 
