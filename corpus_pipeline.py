@@ -1,17 +1,33 @@
 """The corpus pipeline: language ID, near-duplicate removal, PII redaction, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. Before a stage the
+driver and the executors give back the memory that the one before it left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import langid, mixing, ngram_join, packing, pii
-from loomgrid.llm.common import distinct_ids, ordered_keys, sized, table, written
+from loomgrid.llm.common import distinct_ids, ordered_keys, rest_all, sized, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def rested(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest_all(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@rested
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; text without letters and undecided text go."""
     model = langid.fit_on(docs)
@@ -19,6 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
 
 
+@rested
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of shingle similarity 0.8 or more join: the one of least doc_id (null ids come first, rows that
     share an id in the order of a hash of their text). Documents without words are no one's duplicates and all stay."""
@@ -29,18 +46,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
+@rested
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; n_chars follows."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+@rested
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates for no toxic tokens and all the others' own; documents whose rate rounds to 0 go."""
     rates = mixing.mix(docs, table(spark, sf_dir, "labels"), {"toxic": 0.0}, max_rate=1.0, keep=tuple(docs.columns))
     return rates.where("rate >= 0.5").select(*docs.columns)
 
 
+@rested
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,10 +112,31 @@ def trim() -> None:
         give(0)
 
 
+def _trim_java(spark: SparkSession) -> None:
+    """The driver's Java gives back what it has freed outside its heap, mostly its compilers' memory; a Java that has no such command keeps it."""
+    java, array = spark._jvm, spark.sparkContext._gateway.new_array
+    with suppress(Py4JError):
+        call = next(m for m in java.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args, name = array(java.Object, 4), java.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[0], args[1], args[2], args[3] = name, "systemTrimNativeHeap", array(java.Object, 0), array(java.String, 0)
+        call.invoke(java.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def rest(spark: SparkSession) -> None:
     """The driver gives freed memory back: many small jobs leave plans and code that its heap keeps until it is full."""
     trim()
     spark._jvm.System.gc()
+    _trim_java(spark)
+
+
+def rest_all(spark: SparkSession) -> None:
+    """As ``rest``, and the executors too: a heap that earlier work grew stays so large until a full collection, and Python workers need the room."""
+    rest(spark)
+    ctx = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", ctx.master):  # there the driver's heap is the only one
+        slots = ctx.defaultParallelism  # tasks for each core, so that every executor gets some
+        for _ in range(2):  # threads hold what their last task read until they get another
+            spark.range(0, slots, 1, slots).selectExpr("reflect('java.lang.System', 'gc')").collect()
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

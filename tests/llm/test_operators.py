@@ -5,12 +5,16 @@ import itertools
 import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -668,3 +672,37 @@ def test_mixing_splits_words_once(spark):
     rows = f.select("text", mixing.scored(F.col("text"), model).alias("x"), F.size(mixing.words(F.col("text"))).alias("n"), mixing.posterior(mixing.marked(F.col("text")), model).alias("p")).collect()
     assert all(r.x.n == r.n and list(r.x.p) == list(r.p) for r in rows)
     assert [round(np.log(r.p[1] / r.p[0]), 6) for r in rows] == [0, 0, 0, 3, 2]
+
+
+EXECUTOR = """
+import re, sys
+from pathlib import Path
+from pyspark.sql import SparkSession
+import corpus_pipeline
+
+spark = SparkSession.builder.master("local-cluster[1,2,1200]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+
+def held():
+    found = [p for p in Path("/proc").glob("[0-9]*") if "CoarseGrainedExecutorBackend" in (p / "cmdline").read_text() and sys.argv[2] in (p / "cmdline").read_text()]
+    return sum(int(re.search(r"VmRSS:\\s+(\\d+)", (p / "status").read_text())[1]) // 1024 for p in found)
+
+spark.range(0, 40, 1, 8).selectExpr("sum(size(sequence(0L, 8000000L + id)))").collect()
+docs = spark.createDataFrame([(1, "a few words", "en", "a", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+before = held()
+corpus_pipeline.private_data(spark, docs, "").select("doc_id").schema
+print("MB", before, held())
+"""
+
+
+def test_executors_give_memory_back_before_a_stage(tmp_path):
+    """What a stage leaves in the executors' heaps is not held while the next one's Python workers run."""
+    home, root = tmp_path / "home", os.path.dirname(corpus_pipeline.__file__)
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors write to work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    kept = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))}
+    env = kept | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path), "PYTHONPATH": root, "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", EXECUTOR, str(tmp_path / "shared"), str(home)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    before, after = map(int, re.search(r"MB (\d+) (\d+)", run.stdout).groups())
+    assert before > 500 and after < 0.75 * before
